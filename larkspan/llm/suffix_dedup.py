@@ -5,11 +5,11 @@ smaller id.  Every such string is owned by the smallest hash of the k-byte runs
 inside it, so equal strings have equal owners wherever they stand; a segment is
 a run of strings with one owner.
 
-1. Documents give their owners; an owner seen in two documents is shared.
-   Within a partition owners are resolved first, so that a passage that very
-   many documents hold sends one row a partition.
-2. Documents cut the segments of their shared owners.  Equal segments are
-   settled by their smallest document, again within the partition first.
+1. Documents give their segments as owner, fingerprint and place.  Equal
+   segments are settled by their smallest document, within a partition first,
+   so that a passage that very many documents hold asks once a partition.
+2. Only owners whose segments differ between documents are left; the smallest
+   document of each such segment cuts its bytes.
 3. Segments of one owner that differ meet in a suffix array: suffixes smaller
    than their successors are sorted directly, all others are induced from them
    by one scan over the buckets of first bytes; neighbours in the array whose
@@ -25,28 +25,29 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspan.llm import textvec
-from larkspan.llm.common import ship
+from larkspan.llm.common import ship, written
 
 SPAN = 50
 GRAM = 16
-#: Owners or segments that one partition holds before it settles and sends them.
-HELD = 2_000_000
+#: Segments that one partition holds before it settles and sends them.
+HELD = 1_000_000
 #: Bytes of segments in one suffix array, unless one owner has more.
 ARRAY = 1_000_000
 
 _U = np.uint64
 
 
-def owners(data: np.ndarray, offsets: np.ndarray, span: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, owner, first, end) of the segments of a chunk: strings of ``span`` bytes start at first..end-1 (in the chunk)."""
+def owners(data: np.ndarray, offsets: np.ndarray, span: int, gram: int) -> tuple[np.ndarray, ...]:
+    """(row, owner, fingerprint, first byte, end byte) of the segments of a chunk."""
     n = len(data)
     none = np.zeros(0, np.int64)
     if n < span:
-        return none, none.astype(_U), none, none
+        return none, none.astype(_U), none.astype(_U), none, none
     up, down = textvec._powers(n)
     with np.errstate(over="ignore"):
         total = np.zeros(n + 1, _U)
@@ -62,129 +63,171 @@ def owners(data: np.ndarray, offsets: np.ndarray, span: int, gram: int) -> tuple
     inside = np.arange(len(least)) + span <= offsets[row + 1]
     at = np.flatnonzero(inside)
     if not len(at):
-        return none, none.astype(_U), none, none
+        return none, none.astype(_U), none.astype(_U), none, none
     new = np.ones(len(at), bool)
     new[1:] = (least[at[1:]] != least[at[:-1]]) | (row[at[1:]] != row[at[:-1]])
     first = at[new]
-    end = np.append(at[np.flatnonzero(new)[1:] - 1], at[-1]) + 1
-    return row[first], least[first], first, end
+    end = np.append(at[np.flatnonzero(new)[1:] - 1], at[-1]) + span
+    with np.errstate(over="ignore"):
+        print_ = textvec.mix64((total[end] - total[first]) * down[first] + (end - first).astype(_U))
+    return row[first], least[first], print_, first, end
 
 
-def _own_rows(span: int, gram: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(key, owner, id, known): known owners are shared already and stay with their document."""
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        size = 0
+def _planes(x: np.ndarray) -> bytes:
+    """The bytes of the numbers by significance, so that the shuffle's compression finds the zeros."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
 
-        def settle() -> pa.RecordBatch:
-            owner, key = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.lexsort((key, owner))
-            owner, key = owner[order], key[order]
-            new = np.ones(len(owner), bool)
-            new[1:] = (owner[1:] != owner[:-1]) | (key[1:] != key[:-1])
-            owner, key = owner[new], key[new]
-            first = np.ones(len(owner), bool)
-            first[1:] = owner[1:] != owner[:-1]
-            with_others = first & ~np.append(first[1:], True)  # its smallest document here: known, and asked for elsewhere too
-            owner, key = np.append(owner, owner[with_others]), np.append(key, key[with_others])
-            known = np.append(~first, np.ones(int(with_others.sum()), bool))
-            to = np.where(known, textvec.mix64(owner + key.astype(_U)), owner).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(to), pa.array(owner.view(np.int64)), pa.array(key), pa.array(known)], ["key", "owner", "id", "known"])
+
+#: Columns of a packed block, sorted by owner, which is stored as differences.
+_PLACE = (("owner", "<u8"), ("print", "<u8"), ("id", "<i8"), ("version", "<i4"), ("start", "<u4"), ("size", "<u4"))
+_WIDTH = sum(np.dtype(t).itemsize for _, t in _PLACE)
+_OWN = "bucket int, settled boolean, payload binary"
+
+
+def _pack(places: dict[str, np.ndarray]) -> bytes:
+    return b"".join(_planes((np.diff(places[k], prepend=_U(0)) if k == "owner" else places[k]).astype(t)) for k, t in _PLACE)
+
+
+def _unpack(raw: bytes) -> dict[str, np.ndarray]:
+    n, at, out = len(raw) // _WIDTH, 0, {}
+    for k, t in _PLACE:
+        width = np.dtype(t).itemsize
+        out[k] = np.ascontiguousarray(np.frombuffer(raw, np.uint8, width * n, at).reshape(width, n).T).view(t).reshape(-1)
+        at += width * n
+    out["owner"] = np.cumsum(out["owner"], dtype=_U)
+    return out
+
+
+def _joined(parts: list[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
+    return {k: np.concatenate([p[k] for p in parts]) for k, _ in _PLACE}
+
+
+def _some(places: dict[str, np.ndarray], which: np.ndarray) -> dict[str, np.ndarray]:
+    return {k: v[which] for k, v in places.items()}
+
+
+def _settle(parts: list[dict[str, np.ndarray]]) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
+    """(places of the smallest document of each segment, places of the others, which lose theirs), sorted by owner and fingerprint."""
+    places = _joined(parts)
+    places = _some(places, np.lexsort((places["start"], places["id"], places["print"], places["owner"])))
+    new = np.ones(len(places["id"]), bool)
+    new[1:] = (places["owner"][1:] != places["owner"][:-1]) | (places["print"][1:] != places["print"][:-1])
+    first = np.flatnonzero(new)
+    least = np.repeat(places["id"][first], np.diff(np.append(first, len(new))))
+    stays = places["id"] == least
+    return _some(places, stays), _some(places, ~stays)
+
+
+def _own_rows(span: int, gram: int, buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Segments by bucket of their owner; equal ones of this partition are settled here and only the smallest document's go on."""
+        held: list[dict[str, np.ndarray]] = []
+        size, turn = 0, TaskContext.get().partitionId()
+
+        def send() -> pa.RecordBatch:
+            nonlocal turn
+            go, gone = _settle(held)
+            width = (1 << 64) // buckets + 1
+            cut = np.searchsorted(go["owner"], np.array([min(b * width, (1 << 64) - 1) for b in range(1, buckets)], _U))
+            cut = [0, *cut.tolist(), len(go["owner"])]
+            rows = [(b, False, _pack({k: v[x:y] for k, v in go.items()})) for b, (x, y) in enumerate(zip(cut, cut[1:], strict=False)) if x < y]
+            for a in range(0, len(gone["id"]), 50_000):
+                rows.append((turn % buckets, True, _pack({k: v[a : a + 50_000] for k, v in gone.items()})))
+                turn += 1
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.bool_(), pa.binary()), strict=True)], ["bucket", "settled", "payload"])
 
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            data, offsets = textvec.utf8(batch.column(1))
+            ids, versions = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            data, offsets = textvec.utf8(batch.column(2))
             for a, _, piece, at in textvec.chunks(data, offsets):
-                row, owner, _, _ = owners(piece, at, span, gram)
-                held.append((owner, ids[a + row]))
-                size += len(owner)
+                row, owner, print_, first, end = owners(piece, at, span, gram)
+                if len(row):
+                    held.append({"owner": owner, "print": print_, "id": ids[a + row], "version": versions[a + row], "start": first - at[row], "size": end - first})
+                    size += len(row)
                 if size >= HELD:
-                    yield settle()
+                    yield send()
                     held, size = [], 0
         if size:
-            yield settle()
+            yield send()
 
     return run
 
 
-def _shared_owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (known, owner, id) -> (id, owner) of owners in several documents; known ones pass."""
-    last: tuple[int, int] | None = None  # owner and id of the last row; not yet sent if it was the first of its owner
-    sent = False
+_FOUND = "id long, version int, start int, end int, owners array<bigint>"
+
+
+def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (settled, bucket) -> spans that go (without owners), and owners whose segments differ between documents (without a span)."""
+    held: list[dict[str, np.ndarray]] = []
+    current = None
+
+    def spans(p: dict[str, np.ndarray]) -> pa.RecordBatch:
+        n = len(p["id"])
+        return pa.RecordBatch.from_arrays([pa.array(p["id"]), pa.array(p["version"]), pa.array(p["start"].astype(np.int32)), pa.array((p["start"] + p["size"]).astype(np.int32)), pa.nulls(n, pa.list_(pa.int64()))], ["id", "version", "start", "end", "owners"])
+
+    def settle() -> Iterator[pa.RecordBatch]:
+        if not held:
+            return
+        stays, gone = _settle(held)
+        if len(gone["id"]):
+            yield spans(gone)
+        first = np.flatnonzero(np.diff(stays["owner"], prepend=stays["owner"][:1] + _U(1)))
+        several = np.minimum.reduceat(stays["id"], first) < np.maximum.reduceat(stays["id"], first)
+        asked = np.repeat(several, np.diff(np.append(first, len(stays["id"]))))
+        owner, key = stays["owner"][asked], stays["id"][asked]
+        if len(key):
+            order = np.argsort(key, kind="stable")
+            owner, key = owner[order], key[order]
+            first = np.flatnonzero(np.diff(key, prepend=key[:1] - 1))
+            owners_ = pa.ListArray.from_arrays(pa.array(np.append(first, len(key)), pa.int32()), pa.array(owner.view(np.int64)))
+            none = pa.nulls(len(first), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(key[first]), none, none, none, owners_], ["id", "version", "start", "end", "owners"])
+
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        owner, key = batch.column(1).to_numpy(), batch.column(2).to_numpy()
-        known = batch.column(3).to_numpy(zero_copy_only=False)
-        again = np.zeros(len(owner), bool)
-        again[1:] = (owner[1:] == owner[:-1]) & ~known[1:] & ~known[:-1]
-        again[0] = last is not None and not known[0] and owner[0] == last[0]
-        extra = []
-        if again[0] and not sent:
-            extra.append(last)
-        some = again.copy()
-        some[:-1] |= again[1:]
-        some |= known
-        ids, own = key[some], owner[some]
-        if extra:
-            ids, own = np.append(ids, extra[0][1]), np.append(own, extra[0][0])
-        last = None if known[-1] else (int(owner[-1]), int(key[-1]))
-        sent = bool(some[-1])
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(own)], ["id", "owner"])
-
-
-_SEGMENT = "key long, owner long, id long, version long, start long, size long, segment binary"
+        for bucket, settled, payload in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            if settled:
+                yield spans(_unpack(payload))
+                continue
+            if bucket != current:
+                yield from settle()
+                held, current = [], bucket
+            held.append(_unpack(payload))
+    yield from settle()
+
+
+_SEGMENT = "owner long, id long, version int, start int, segment binary"
+
+
+def _merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Spans that touch or overlap become one."""
+    order = np.argsort(start, kind="stable")
+    start, end = start[order], np.maximum.accumulate(end[order])
+    new = np.ones(len(start), bool)
+    new[1:] = start[1:] > end[:-1]
+    at = np.flatnonzero(new)
+    return start[at], np.append(end[at[1:] - 1], end[-1:])
 
 
 def _segment_rows(span: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(id, version, text, owners) -> segments of shared owners; those settled here carry no bytes."""
-        held: dict[tuple[int, bytes], list[tuple[int, int, int]]] = {}
-        size = 0
-
-        def settle() -> Iterator[pa.RecordBatch]:
-            rows: list[tuple] = []
-            for (owner, segment), places in held.items():
-                least = min(p[0] for p in places)
-                for key, version, start in places:
-                    if key > least:
-                        rows.append((hash((key, start)), owner, key, version, start, len(segment), None))
-                    else:
-                        rows.append((owner, owner, key, version, start, len(segment), segment))
-                if len(rows) >= 20_000:
-                    yield batch_of(rows)
-                    rows = []
-            if rows:
-                yield batch_of(rows)
-
-        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], ["key", "owner", "id", "version", "start", "size", "segment"])
-
+        """(id, version, text, owners) -> the segments of these owners."""
         for batch in batches:
-            ids, versions = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            ids, versions = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             data, offsets = textvec.utf8(batch.column(2))
             wanted = batch.column(3)
             for a, _, piece, at in textvec.chunks(data, offsets):
-                row, owner, first, end = owners(piece, at, span, gram)
-                if not len(row):
-                    continue
-                raw = piece.tobytes()
-                signed = owner.view(np.int64)
+                row, owner, _, first, end = owners(piece, at, span, gram)
                 cut = np.searchsorted(row, np.arange(len(at)))
+                signed = owner.view(np.int64)
+                mine = [np.zeros(0, np.int64)]
                 for r in range(len(at) - 1):
                     lo, hi = int(cut[r]), int(cut[r + 1])
-                    if lo == hi:
-                        continue
-                    mine = np.isin(signed[lo:hi], wanted[a + r].values.to_numpy(zero_copy_only=False))
-                    for i in (lo + np.flatnonzero(mine)).tolist():
-                        f, e = int(first[i]), int(end[i]) + span - 1
-                        held.setdefault((int(signed[i]), raw[f:e]), []).append((ids[a + r], versions[a + r], f - int(at[r])))
-                        size += 200 + e - f
-                if size >= 64 * HELD:
-                    yield from settle()
-                    held, size = {}, 0
-        yield from settle()
+                    if lo < hi:
+                        mine.append(lo + np.flatnonzero(np.isin(signed[lo:hi], wanted[a + r].values.to_numpy(zero_copy_only=False))))
+                at_ = np.concatenate(mine)
+                raw, r = piece.tobytes(), row[at_]
+                parts = [raw[f:e] for f, e in zip(first[at_].tolist(), end[at_].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(signed[at_]), pa.array(ids[a + r]), pa.array(versions[a + r]), pa.array((first[at_] - at[r]).astype(np.int32)), pa.array(parts, pa.binary())], ["owner", "id", "version", "start", "segment"])
 
     return run
 
@@ -303,13 +346,10 @@ def _removals(span: int):
         def flush() -> pa.RecordBatch:
             columns = list(zip(*out, strict=True)) if out else [(), (), (), ()]
             out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["id", "version", "start", "end"])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)], ["id", "version", "start", "end"])
 
         for batch in batches:
-            for owner, key, version, start, length, segment in zip(*(batch.column(i).to_pylist() for i in range(1, 7)), strict=True):
-                if segment is None:
-                    out.append((key, version, start, start + length))
-                    continue
+            for owner, key, version, start, segment in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 if owner != current:
                     settle()
                     current = owner
@@ -335,12 +375,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if found[i].is_valid and len(found[i].values):
                 x = found[i].values
                 start, end = x.field("start").to_numpy(), x.field("end").to_numpy()
-                order = np.argsort(start, kind="stable")
-                start, end = start[order], np.maximum.accumulate(end[order])
-                new = np.ones(len(start), bool)
-                new[1:] = start[1:] > end[:-1]
-                a = np.flatnonzero(new)
-                runs = list(zip(start[a].tolist(), np.append(end[a[1:] - 1], end[-1]).tolist(), strict=True))
+                runs = list(zip(*(y.tolist() for y in _merged(start, end)), strict=True))
                 mask = np.ones(len(raw), bool)
                 for lo, hi in runs:
                     mask[lo:hi] = False
@@ -363,14 +398,18 @@ def suffix_dedup(docs: DataFrame, span: int = SPAN, gram: int = GRAM, id_col: st
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     named = rows.where("id IS NOT NULL")
-    own = named.select("id", "text").mapInArrow(_own_rows(span, gram), "key long, owner long, id long, known boolean")
-    shared = own.repartition("key").sortWithinPartitions("known", "owner", "id").mapInArrow(_shared_owners, "id long, owner long")
-    marks = shared.groupBy("id").agg(F.collect_set("owner").alias("owners"))
+    buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    repeated = not named.groupBy("id").count().where("count > 1").isEmpty()
+    version = F.hash("text") if repeated else F.lit(0)
     texts = named.select("id", "text")
-    segments = texts.join(marks, "id").select("id", F.xxhash64("text").alias("version"), "text", "owners").mapInArrow(_segment_rows(span, gram), _SEGMENT)
-    removals = segments.repartition("key").sortWithinPartitions("owner").mapInArrow(_removals(span), "id long, version long, start long, end long")
+    own = texts.select("id", version.alias("version"), "text").mapInArrow(_own_rows(span, gram, buckets), _OWN)
+    found = written(own.repartition("bucket").sortWithinPartitions("settled", "bucket").mapInArrow(_settled, _FOUND), "spans")
+    marks = found.where("owners IS NOT NULL").groupBy("id").agg(F.flatten(F.collect_list("owners")).alias("owners"))
+    segments = texts.join(marks, "id").select("id", version.alias("version"), "text", "owners").mapInArrow(_segment_rows(span, gram), _SEGMENT)
+    removals = segments.repartition("owner").sortWithinPartitions("owner").mapInArrow(_removals(span), "id long, version int, start int, end int")
+    removals = removals.unionByName(found.where("owners IS NULL").drop("owners"))
     merged = removals.groupBy("id").agg(F.collect_list(F.struct("version", "start", "end")).alias("found"))
-    mine = F.filter("found", lambda x: x["version"] == F.xxhash64("text"))
-    rest = rows.where("id IS NULL").select("id", "text", F.lit(None).cast("array<struct<version:bigint,start:bigint,end:bigint>>").alias("found"))
+    mine = F.filter("found", lambda x: x["version"] == version)
+    rest = rows.where("id IS NULL").select("id", "text", F.lit(None).cast("array<struct<version:int,start:int,end:int>>").alias("found"))
     joined = texts.join(merged, "id", "left").select("id", "text", mine.alias("found")).unionByName(rest)
     return joined.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
