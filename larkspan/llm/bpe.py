@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import ahocorasick
@@ -27,8 +27,8 @@ from larkspan.llm.common import ship
 
 #: A vocabulary file over this size is refused: it goes to every worker.
 MOST_BYTES = 64_000_000
-#: Pieces that a worker remembers; the table starts anew when it is full.
-PIECES = 400_000
+#: Pieces that a worker remembers, twice.
+PIECES = 300_000
 
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -148,54 +148,87 @@ class Codes:
                 pos -= len(texts[t])
         return out
 
-    def piece_ids(self, piece: str) -> list[int]:
-        return [self.id[t] for t in self.ranks(piece.encode())]
+    def pieces_ids(self, pieces: list[str]) -> tuple[list[int], list[int]]:
+        """The ids of all pieces, and where those of each end."""
+        ids: list[int] = []
+        ends = []
+        for piece in pieces:
+            ids.extend([self.id[t] for t in self.ranks(piece.encode())])
+            ends.append(len(ids))
+        return ids, ends
 
 
 class Pieces(dict):
-    """piece -> its ids as bytes; made on demand, bounded."""
+    """piece -> its ids as bytes.  Bounded: when the young pieces fill the table, it becomes the old one."""
 
-    def __init__(self, make):
-        self.make = make
+    def __init__(self, make: Callable[[list[str]], tuple[list[int], list[int]]]):
+        self.make, self.old = make, {}
 
-    def __missing__(self, piece: str) -> bytes:
+    def learn(self, pieces: set[str]) -> None:
+        """Makes all pieces that are not here ready; those that are not made at once are made one by one."""
         if len(self) >= PIECES:
+            self.old = dict(self)
             self.clear()
-        ids = np.array(self.make(piece), "<u4").tobytes()
-        if len(piece) < 64:
-            self[piece] = ids
-        return ids
+        missing = []
+        for piece in pieces.difference(self):
+            if (ids := self.old.get(piece)) is not None:
+                self[piece] = ids
+            else:
+                missing.append(piece)
+        for a in range(0, len(missing), 4096):
+            part = missing[a : a + 4096]
+            ids, ends = self.make(part)
+            raw, at = np.array(ids, "<u4").tobytes(), 0
+            for piece, end in zip(part, ends, strict=True):
+                self[piece] = raw[at : 4 * end]
+                at = 4 * end
 
 
 class Encoder:
-    """Whole texts to ids; ``make`` encodes one piece."""
+    """Whole texts to ids; ``make`` gives the ids of a list of pieces and where each piece's end."""
 
-    def __init__(self, source: bytes, make=None):
+    def __init__(self, source: bytes, make: Callable[[list[str]], tuple[list[int], list[int]]] | None = None):
         self.codes = Codes(source)
-        self.pieces = Pieces(make or self.codes.piece_ids)
+        self.pieces = Pieces(make or self.codes.pieces_ids)
         self._find = regex.compile(PATTERN).findall
 
     def find(self, text: str) -> list[str]:
         """The pieces of a text without special tokens."""
-        if text.isascii() or not NEWER.search(text):
+        try:
+            text.encode("latin-1")  # a quick way to see that nothing in the text is newer
             return self._find(text)
+        except UnicodeEncodeError:
+            if not NEWER.search(text):
+                return self._find(text)
         pieces, at = [], 0
         for piece in self._find(NEWER.sub("\ue000", text)):  # U+E000 is neither letter, digit nor space
             pieces.append(text[at : at + len(piece)])
             at += len(piece)
         return pieces
 
-    def encode(self, text: str) -> np.ndarray:
-        cut = self.codes.cut
-        if cut is None or not cut.search(text):
-            return np.frombuffer(b"".join(map(self.pieces.__getitem__, self.find(text))), "<u4")
-        parts = []
-        for part in cut.split(text):
-            if (special := self.codes.special.get(part)) is not None:
-                parts.append(np.array([special], "<u4").tobytes())
+    def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
+        cut, special = self.codes.cut, self.codes.special
+        found = []
+        for text in texts:
+            if not text:
+                found.append([])
+            elif cut is None or not any(s in text for s in special):
+                found.append(self.find(text))
+            else:
+                found.append([x for part in cut.split(text) for x in ([part] if part in special else self.find(part))])
+        self.pieces.learn(set().union(*found).difference(special))
+        table = self.pieces
+        out = []
+        for text, pieces in zip(texts, found, strict=True):
+            if cut is not None and text and any(s in text for s in special):
+                raw = b"".join(np.array([special[p]], "<u4").tobytes() if p in special else table[p] for p in pieces)
             else:
-                parts.extend(map(self.pieces.__getitem__, self.find(part)))
-        return np.frombuffer(b"".join(parts), "<u4")
+                raw = b"".join(map(table.__getitem__, pieces))
+            out.append(np.frombuffer(raw, "<u4"))
+        return out
+
+    def encode(self, text: str) -> np.ndarray:
+        return self.encode_all([text])[0]
 
 
 class Offsets:
@@ -258,7 +291,7 @@ def bpe_encode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", te
         for batch in batches:
             for a in range(0, batch.num_rows, 64):
                 part = batch.slice(a, 64)
-                ids = [encoder.encode(t or "") for t in part.column(1).to_pylist()]
+                ids = encoder.encode_all(part.column(1).to_pylist())
                 ends = np.cumsum([0, *map(len, ids)])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids).astype(np.int32)))], ["doc_id", "ids"])
 
@@ -296,7 +329,7 @@ def bpe_round_trip(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id"
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
-                all_ids = [encoder.encode(t.as_py() or "") for t in part.column(1)]
+                all_ids = encoder.encode_all(part.column(1).to_pylist())
                 n = [len(ids) for ids in all_ids]
                 ids_sha = [hashlib.sha256(decimal.join(ids)[:-1]).hexdigest() for ids in all_ids]
                 text_sha = [hashlib.sha256(decoder.text(ids)).hexdigest() for ids in all_ids]
