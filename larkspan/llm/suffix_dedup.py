@@ -35,9 +35,9 @@ from larkspan.llm.common import ship, written
 SPAN = 50
 GRAM = 16
 #: Segments that one partition holds before it settles and sends them.
-HELD = 1_000_000
+HELD = 400_000
 #: Bytes of segments in one suffix array, unless one owner has more.
-ARRAY = 1_000_000
+ARRAY = 150_000
 
 _U = np.uint64
 
@@ -88,7 +88,7 @@ def _pack(places: dict[str, np.ndarray]) -> bytes:
     return b"".join(_planes((np.diff(places[k], prepend=_U(0)) if k == "owner" else places[k]).astype(t)) for k, t in _PLACE)
 
 
-def _unpack(raw: bytes) -> dict[str, np.ndarray]:
+def _unpack(raw: bytes | pa.Buffer) -> dict[str, np.ndarray]:
     n, at, out = len(raw) // _WIDTH, 0, {}
     for k, t in _PLACE:
         width = np.dtype(t).itemsize
@@ -184,7 +184,8 @@ def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(key[first]), none, none, none, owners_], ["id", "version", "start", "end", "owners"])
 
     for batch in batches:
-        for bucket, settled, payload in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+        for i, (bucket, settled) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+            payload = batch.column(2)[i].as_buffer()
             if settled:
                 yield spans(_unpack(payload))
                 continue
@@ -244,11 +245,7 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     after = np.append(text, np.uint8(255))[run_end + 1]
     small = after > text  # smaller than its successor; the end counts as such
     direct = np.flatnonzero(small)
-    padded = np.zeros(n + depth + 16, _U)
-    padded[:n] = text
-    word = np.zeros(n + depth + 8, _U)
-    for k in range(8):
-        word |= padded[k : k + len(word)] << _U(56 - 8 * k)
+    word = _words(text, depth + 8)
     direct = direct[np.lexsort([word[direct + 8 * k] for k in range(-(-depth // 8) - 1, -1, -1)])]
     sorted_cut = np.searchsorted(text[direct], np.arange(257))
     induced: list[list[np.ndarray]] = [[] for _ in range(256)]
@@ -272,17 +269,31 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     return np.concatenate(out)
 
 
+def _words(text: np.ndarray, more: int) -> np.ndarray:
+    """The eight bytes from each position on as one number, zeros behind the end."""
+    padded = np.zeros(len(text) + more + 8, _U)
+    padded[: len(text)] = text
+    word = np.zeros(len(text) + more, _U)
+    for k in range(8):
+        word |= padded[k : k + len(word)] << _U(56 - 8 * k)
+    return word
+
+
 def common_prefixes(text: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
     """Length, up to ``depth``, of the common prefix of each suffix with the one before it."""
-    padded = np.append(text, np.zeros(depth, np.uint8))
+    word = _words(text, depth + 8)
     lcp = np.zeros(len(order), np.int64)
     alive = np.arange(1, len(order))
-    for k in range(depth):
-        alive = alive[padded[order[alive] + k] == padded[order[alive - 1] + k]]
+    for k in range(0, depth, 8):
+        apart = word[order[alive] + k] ^ word[order[alive - 1] + k]
+        same = np.full(len(alive), 8)
+        odd = np.flatnonzero(apart)
+        same[odd] = sum((apart[odd] < _U(1 << (64 - 8 * j))).astype(np.int64) for j in range(1, 8))
+        lcp[alive] += same
+        alive = alive[apart == 0]
         if not len(alive):
             break
-        lcp[alive] = k + 1
-    return lcp
+    return np.minimum(lcp, depth)
 
 
 def earlier_strings(segments: list[bytes], docs: np.ndarray, span: int) -> list[np.ndarray]:
