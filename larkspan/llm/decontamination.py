@@ -28,7 +28,7 @@ RANK = 48
 SKETCH = 64
 #: Window lengths in words; an item is searched with the shortest one that holds it.
 WINDOWS = (8, 12, 16, 24, 36, 54, 81, 122, 183, 274, 411)
-COSINE = 0.5
+COSINE = 0.42
 VERBATIM = 0.7
 PARAPHRASE = 0.5
 ANSWER = 3
@@ -60,6 +60,16 @@ def _passages(before: np.ndarray) -> np.ndarray:
     return np.repeat(first, n) + (np.arange(before[-1]) - np.repeat(before[:-1], n)) // PASSAGE
 
 
+def _counted(f: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(passage * FEATURES + feature, occurrences), sorted."""
+    pairs = at * FEATURES + f
+    if (int(at[-1]) + 1) * FEATURES < 1 << 31:
+        pairs = pairs.astype(np.int32)
+    pairs.sort()
+    first = np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1]))
+    return pairs[first], np.diff(np.append(first, len(pairs)))
+
+
 def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
     """Passages of all documents that hold each feature, and their number."""
 
@@ -69,7 +79,7 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
             for _, h, before in _pieces(batch, 0):
                 if len(h):
                     at = _passages(before)
-                    pairs = np.unique(at * FEATURES + _features(h))
+                    pairs, _ = _counted(_features(h), at)
                     total += np.bincount(pairs % FEATURES, minlength=FEATURES)
                     passages += int(at[-1]) + 1
         yield from sums({0: total, 1: np.array([passages])})
@@ -120,7 +130,7 @@ def right_vectors(texts: DataFrame, idf: np.ndarray, seed: int = 7) -> np.ndarra
 
 def _squares(f: np.ndarray, at: np.ndarray, idf: np.ndarray, passages: int) -> np.ndarray:
     """Squared length of each passage's TF-IDF vector."""
-    pairs, n = np.unique(at * FEATURES + f, return_counts=True)
+    pairs, n = _counted(f, at)
     return np.bincount(pairs // FEATURES, (n * idf[pairs % FEATURES]) ** 2.0, passages)
 
 
@@ -142,6 +152,15 @@ class Items:
             latent.append((basis[_features(h[a:b])] - centre).sum(axis=0) if b > a else np.zeros(RANK))
             if b > a:
                 rows.setdefault(next((w for w in WINDOWS if w >= b - a), WINDOWS[-1]), []).append(i)
+        n = len(ids)
+        self.sizes = np.array([len(w) for w in self.words], np.int64)
+        self.member = np.zeros((n, FEATURES + 1), bool)  # the last column stands for no word
+        self.answer = np.full((n, ANSWER), FEATURES, np.int64)
+        for i, w in enumerate(self.words):
+            if w:
+                f = _features(np.array(w, np.uint64)).astype(np.int64)
+                self.member[i, f] = True
+                self.answer[i] = np.resize(f[-ANSWER:], ANSWER)
         unit = _unit(np.array(latent, np.float32).reshape(-1, RANK))
         self.by_window = {w: (np.array(i), np.ascontiguousarray(unit[i].T)) for w, i in sorted(rows.items())}
 
@@ -182,30 +201,48 @@ class Search:
     def __init__(self, items: Items, basis: np.ndarray, centre: np.ndarray):
         self.items, self.basis = items, basis - centre
 
+    def _possible(self, features: np.ndarray, low: np.ndarray, high: np.ndarray, item: np.ndarray) -> np.ndarray:
+        """Whether a region holds enough of the item's words, and its answer's where those are asked for; what it denies no subsequence can give."""
+        place = low[:, None] + np.arange(int((high - low).max()) if len(low) else 0)
+        word = np.where(place < high[:, None], features[np.minimum(place, len(features) - 1)], FEATURES)
+        held = self.items.member[item[:, None], word].sum(axis=1)
+        answered = np.ones(len(item), bool)
+        for k in range(ANSWER):
+            answered &= (word == self.items.answer[item, k][:, None]).any(axis=1)
+        size = self.items.sizes[item]
+        return (held >= VERBATIM * size) | ((held >= PARAPHRASE * size) & answered)
+
     def __call__(self, batch: pa.RecordBatch, column: int) -> dict[tuple[int, int], tuple[float, float, int]]:
         """(row, item) -> (share of the item, cosine, first word) of the best passage."""
         found: dict[tuple[int, int], tuple[float, float, int]] = {}
         for top, h, before in _pieces(batch, column):
             if not len(h):
                 continue
+            features = _features(h)
             total = np.zeros((len(h) + 1, RANK), np.float32)
-            np.cumsum(self.basis[_features(h)], axis=0, out=total[1:])
+            np.cumsum(self.basis[features], axis=0, out=total[1:])
+            features = np.append(features, np.int16(0)).astype(np.int64)
             for size, (rows, latent) in self.items.by_window.items():
                 row, first, end = _starts(before, size)
                 slack = max(2, size // 4)
+                low, high = np.maximum(before[:-1][row], first - slack), np.minimum(before[1:][row], end + slack)
                 for a in range(0, len(row), 1 << 15):
                     b = a + (1 << 15)
                     cosine = _unit(total[end[a:b]] - total[first[a:b]]) @ latent
-                    for w, j in zip(*np.nonzero(cosine >= COSINE), strict=True):
-                        i, r = int(rows[j]), int(row[a + w])
-                        lo, hi = max(int(before[r]), int(first[a + w]) - slack), min(int(before[r + 1]), int(end[a + w]) + slack)
-                        region, item = h[lo:hi].tolist(), self.items.words[i]
-                        share = common_subsequence(item, region) / len(item)
-                        if share < PARAPHRASE or share < VERBATIM and not _in_order(item[-ANSWER:], region):
-                            continue
-                        got = (share, float(cosine[w, j]), lo - int(before[r]))
-                        if got > found.get((top + r, i), (0.0, 0.0, 0)):
-                            found[top + r, i] = got
+                    window, item = np.nonzero(cosine >= COSINE)
+                    near = cosine[window, item]
+                    for c in range(0, len(window), 1 << 14):
+                        w, i, cos = window[c : c + (1 << 14)] + a, rows[item[c : c + (1 << 14)]], near[c : c + (1 << 14)]
+                        for k in np.flatnonzero(self._possible(features, low[w], high[w], i)).tolist():
+                            lo, hi, j = int(low[w[k]]), int(high[w[k]]), int(i[k])
+                            region, words = h[lo:hi].tolist(), self.items.words[j]
+                            share = common_subsequence(words, region) / len(words)
+                            if share < PARAPHRASE or share < VERBATIM and not _in_order(words[-ANSWER:], region):
+                                continue
+                            r = int(row[w[k]])
+                            got = (share, float(cos[k]), lo - int(before[r]))
+                            if got > found.get((top + r, j), (0.0, 0.0, 0)):
+                                found[top + r, j] = got
         return found
 
 
