@@ -24,8 +24,8 @@ from larkspan.llm.common import ship, summed, sums
 
 FEATURES = 1 << 14
 PASSAGE = 48
-RANK = 48
-SKETCH = 64
+RANK = 40
+SKETCH = 48
 #: Window lengths in words; an item is searched with the shortest one that holds it.
 WINDOWS = (8, 12, 16, 24, 36, 54, 81, 122, 183, 274, 411)
 COSINE = 0.42
