@@ -25,16 +25,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspan.llm import textvec
-from larkspan.llm.common import ship, written
+from larkspan.llm.common import ship, summed, sums, written
 from larkspan.llm.components import components
 
 #: Fixed number of counters that one partition sends, and that the driver holds.
 SLOTS = 1 << 16
 FRAGMENTS = 16
 #: A bucket with more candidate pairs than this many times its members is dense.
-DENSE = 4
+DENSE = 1
 #: Rows compared with the rest of a bucket at a time.
 BLOCK = 256
+#: Bits of the bitmap that filters documents before a join; fixed, so it is always small.
+BITMAP = 1 << 23
 
 _U = np.uint64
 _POPCOUNT = np.array([bin(x).count("1") for x in range(256)], np.uint8)
@@ -95,7 +97,7 @@ def profiles(docs: DataFrame, size: int, percent: int, ranks: np.ndarray) -> Dat
                 else:
                     near = np.arange(n)
                 bits = 256
-                while bits < 8192 and bits < n // 3:
+                while bits < 8192 and bits < n // 4:
                     bits *= 2
                 odd = (np.bincount((textvec.mix64(tokens) % _U(bits)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)
                 with np.errstate(over="ignore"):
@@ -177,58 +179,78 @@ def _pairs(percent: int, last: bool) -> Callable:
         for rows in _buckets(batches):
             tokens = rows.column(0).to_numpy()
             cut = np.flatnonzero(np.diff(tokens)) + 1
-            left, right, dense = [], [], []
+            out: list[tuple[np.ndarray, ...]] = []
             for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(tokens)], strict=True):
                 if b - a < 2:
                     continue
                 part = rows.slice(a, b - a)
                 ids, ns, labels = part.column(1).to_numpy(), part.column(2).to_numpy(), part.column(4).to_numpy()
-                odds = part.column(3).to_pylist()
-                root = np.arange(b - a)
-                got, total, held = 0, 0, ([], [])
-
-                def find(x: int, root: np.ndarray = root) -> int:
-                    while root[x] != x:
-                        root[x] = root[root[x]]
-                        x = root[x]
-                    return x
-
-                for p, q in _candidates(ids, ns, odds, labels if last else None, percent):
-                    total += len(p)
-                    if last or total <= DENSE * (b - a):
-                        held[0].append(p)
-                        held[1].append(q)
-                    if last:
-                        continue
-                    for x, y in zip(p.tolist(), q.tolist(), strict=True):
-                        if got == b - a - 1:
-                            break
-                        if (u := find(x)) != (v := find(y)):
-                            root[max(u, v)] = min(u, v)
-                            got += 1
-                            left.append(ids[x : x + 1])
-                            right.append(ids[y : y + 1])
-                            dense.append(np.full(1, tokens[a]))
-                    if got == b - a - 1 and total > DENSE * (b - a):
-                        break
-                if not total:
-                    continue
-                if last or total <= DENSE * (b - a):
-                    if not last:
-                        del left[len(left) - got :], right[len(right) - got :], dense[len(dense) - got :]
-                    p, q = np.concatenate(held[0]), np.concatenate(held[1])
-                    left.append(ids[p])
-                    right.append(ids[q])
-                    dense.append(np.zeros(len(p), np.int64))
-            if left:
-                a, b = np.concatenate(left), np.concatenate(right)
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.concatenate(dense))], ["a", "b", "dense"])
+                p, q, dense = _bucket_pairs(ids, ns, part.column(3).to_pylist(), labels if last else None, percent)
+                if len(p):
+                    out.append((ids[p], ids[q], ns[p], ns[q], np.full(len(p), tokens[a] if dense else 0)))
+            if out:
+                a, b, na, nb, dense = (np.concatenate(x) for x in zip(*out, strict=True))
+                swap = a > b
+                columns = (np.where(swap, b, a), np.where(swap, a, b), np.where(swap, nb, na), np.where(swap, na, nb), dense)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "b", "na", "nb", "dense"])
 
     return run
 
 
+_PAIR = "a long, b long, na long, nb long, dense long"
+
+
+def _bucket_pairs(ids: np.ndarray, ns: np.ndarray, odds: list[bytes], labels: np.ndarray | None, percent: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Index pairs of one bucket to be verified; True: only a spanning forest of all of them."""
+    most = DENSE * len(ids)
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    forest: list[tuple[int, int]] = []
+    root, total = list(range(len(ids))), 0
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    def grow(p: np.ndarray, q: np.ndarray) -> None:
+        for x, y in zip(p.tolist(), q.tolist(), strict=True):
+            if (u := find(x)) != (v := find(y)):
+                root[max(u, v)] = min(u, v)
+                forest.append((x, y))
+                if len(forest) == len(ids) - 1:
+                    return
+
+    for p, q in _candidates(ids, ns, odds, labels, percent):
+        total += len(p)
+        if labels is not None or total <= most:
+            held.append((p, q))
+            continue
+        for x in held:
+            grow(*x)
+        held = []
+        grow(p, q)
+        if len(forest) == len(ids) - 1:
+            break
+    if forest:
+        p, q = np.array(forest).T
+        return p, q, True
+    none = np.zeros(0, np.int64)
+    return *(np.concatenate(x) for x in (zip(*held, strict=True) if held else ((none,), (none,)))), False
+
+
+def _packed(tokens: np.ndarray) -> bytes:
+    """Sorted hashes as differences, bytes by significance, so that the shuffle's compression finds the zeros."""
+    return np.ascontiguousarray(np.diff(tokens, prepend=_U(0)).view(np.uint8).reshape(len(tokens), 8).T).tobytes()
+
+
+def _unpacked(raw: bytes | pa.Buffer) -> np.ndarray:
+    x = np.frombuffer(raw, np.uint8)
+    return np.cumsum(np.ascontiguousarray(x.reshape(8, len(x) // 8).T).view(_U).reshape(-1), dtype=_U)
+
+
 def fragments(docs: DataFrame, size: int, of_rank: np.ndarray) -> DataFrame:
-    """(id, fragment, tokens array<long>) of each document: its set, cut along the global order."""
+    """(id, fragment, tokens binary) of each document: its set, cut along the global order."""
     shared = docs.sparkSession.sparkContext.broadcast(of_rank.astype(np.int16))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,23 +264,62 @@ def fragments(docs: DataFrame, size: int, of_rank: np.ndarray) -> DataFrame:
                     if cut[f] < cut[f + 1]:
                         ids.append(key)
                         frags.append(f)
-                        parts.append(tokens[order[cut[f] : cut[f + 1]]].view(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(frags, pa.int32()), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64)))],
-                ["id", "fragment", "tokens"],
-            )
+                        parts.append(_packed(tokens[order[cut[f] : cut[f + 1]]]))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(frags, pa.int32()), pa.array(parts, pa.binary())], ["id", "fragment", "tokens"])
+
+    return docs.mapInArrow(run, "id long, fragment int, tokens binary")
+
+
+def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (a, b, na, nb, ta, tb) -> the same with the overlap k instead of both token sets."""
+    for batch in batches:
+        k = [len(np.intersect1d(_unpacked(x.as_buffer()), _unpacked(y.as_buffer()), assume_unique=True)) for x, y in zip(batch.column(4), batch.column(5), strict=True)]
+        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(k, pa.int64())], ["a", "b", "na", "nb", "k"])
+
+
+def _maybe(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents that a bitmap of fixed size cannot rule out: a cheap filter before the join by id, never a replacement of it."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = np.zeros(BITMAP // 8, np.uint8)
+        for batch in batches:
+            at = _place(batch.column(0))
+            np.bitwise_or.at(bitmap, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        yield from sums({b: bitmap[b * 4096 : (b + 1) * 4096] for b in range(len(bitmap) // 4096)})
+
+    found = summed(ids, mark, "u1", "or")
+    bitmap = np.concatenate([found.get(b, np.zeros(4096, np.uint8)) for b in range(BITMAP // 8 // 4096)])
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = _place(batch.column(0))
+            yield batch.filter(pa.array((shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
+
+    return docs.mapInArrow(some, docs.schema)
+
+
+def _place(ids: pa.Array) -> np.ndarray:
+    return (textvec.mix64(ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(_U)) % _U(BITMAP)).astype(np.int64)
+
 
-    return docs.mapInArrow(run, "id long, fragment int, tokens array<long>")
+def verified(pairs: DataFrame, docs: DataFrame, size: int, of_rank: np.ndarray, percent: int) -> DataFrame:
+    """The pairs (a, b, na, nb) that link, as (a, b): overlaps counted by fragment, then summed."""
+    near = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    parts = fragments(_maybe(docs, near).join(near, "id", "left_semi"), size, of_rank)
+    asked = pairs.select("a", "b", "na", "nb", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))).alias("fragment"))
+    left = asked.join(parts.withColumnsRenamed({"id": "a", "tokens": "ta"}), ["a", "fragment"])
+    both = left.join(parts.withColumnsRenamed({"id": "b", "tokens": "tb"}), ["b", "fragment"])
+    partial = both.select("a", "b", "na", "nb", "ta", "tb").mapInArrow(_overlaps, "a long, b long, na long, nb long, k long")
+    summed_ = partial.groupBy("a", "b", "na", "nb").agg(F.sum("k").alias("k"))
+    return summed_.where(f"100 * k >= {percent} * (na + nb - k)").select("a", "b").distinct()
 
 
-def verified(pairs: DataFrame, parts: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link: overlaps counted by fragment, then summed."""
-    left = parts.selectExpr("id AS a", "fragment", "tokens AS ta")
-    right = parts.selectExpr("id AS b", "fragment", "tokens AS tb")
-    partial = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", F.size(F.array_intersect("ta", "tb")).alias("k"))
-    summed = partial.groupBy("a", "b").agg(F.sum("k").alias("k"))
-    n = lambda c: sizes.selectExpr(f"id AS {c}", f"n AS n{c}")
-    return summed.join(n("a"), "a").join(n("b"), "b").where(f"100 * k >= {percent} * (na + nb - k)").select("a", "b")
+def _between(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs whose ends are not in one component yet."""
+    for c in ("a", "b"):
+        pairs = pairs.join(roots.selectExpr(f"node AS {c}", f"root AS root_{c}"), c, "left")
+    return pairs.where("coalesce(root_a, a) <> coalesce(root_b, b)").select("a", "b", "na", "nb")
 
 
 def ngram_jaccard_join(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -280,31 +341,33 @@ def ngram_jaccard_join(docs: DataFrame, size: int = 5, percent: int = 80, id_col
     of_rank[order] = np.minimum((mass - counts[order]) * FRAGMENTS // max(int(mass[-1]), 1), FRAGMENTS - 1)
 
     profile = written(profiles(docs, size, percent, ranks), "profiles")
-    same = profile.where("n > 0 AND id IS NOT NULL").groupBy("n", "s1", "s2").agg(F.min("id").alias("id"), F.count("*").alias("members"))
-    classes = written(same, "classes")
+    stands = profile.where("n > 0 AND id IS NOT NULL").groupBy("n", "s1", "s2").agg(F.min(F.struct("id", "prefix", "odd")).alias("least"))
+    stands = written(stands.select("least.*", "n", "s1", "s2"), "classes")
     # A repeated id may stand for several sets: they meet in one node.
-    stands = profile.join(classes.select("id", "n", "s1", "s2"), ["id", "n", "s1", "s2"]).dropDuplicates(["id", "n", "s1", "s2"])
     rows = stands.select("id", "n", "prefix").mapInArrow(_prefix_rows, "token long, id long, n long")
     shared = rows.repartition("token").sortWithinPartitions("token").mapInArrow(_shared, "token long, id long, n long")
     shared = written(shared.join(stands.select("id", "n", "odd"), ["id", "n"]).select("token", "id", "n", "odd"), "buckets")
 
     def candidates(rows: DataFrame, last: bool) -> DataFrame:
-        return rows.repartition("token").sortWithinPartitions("token", "n", "id").mapInArrow(_pairs(percent, last), "a long, b long, dense long")
+        return rows.repartition("token").sortWithinPartitions("token", "n", "id").mapInArrow(_pairs(percent, last), _PAIR)
 
     first = written(candidates(shared.withColumn("label", F.lit(0).cast("long")), False), "pairs")
     dense = first.where("dense <> 0").select(F.col("dense").alias("token")).distinct()
-    pairs = first.where("a <> b").select("a", "b").distinct()
-    near = shared.select("id").distinct()
-    parts = written(fragments(docs.join(near, "id", "left_semi"), size, of_rank), "fragments")
-    sizes = stands.select("id", "n")
-    links = written(verified(pairs, parts, sizes, percent), "links")
+    pairs = first.where("a <> b").select("a", "b", "na", "nb").distinct()
+    # Each document is verified with one partner first; of its other pairs only those between components are left to verify.
+    one = pairs.groupBy("b").agg(F.min(F.struct("a", "na", "nb")).alias("x")).select("x.a", "b", "x.na", "x.nb")
+    links = written(verified(one, docs, size, of_rank, percent), "links")
+    apart = written(_between(pairs.join(one, ["a", "b"], "left_anti"), components(links)), "pairs")
+    if not apart.isEmpty():
+        links = written(links.unionByName(verified(apart, docs, size, of_rank, percent)), "links")
     if not dense.isEmpty():
         roots = components(links)
         rest = shared.join(dense, "token", "left_semi").join(roots.withColumnRenamed("node", "id"), "id", "left").selectExpr("token", "id", "n", "odd", "coalesce(root, id) AS label")
-        more = candidates(rest, True).where("a <> b").select("a", "b").distinct().join(first.select("a", "b").distinct(), ["a", "b"], "left_anti")
-        links = written(links.unionByName(verified(more, parts, sizes, percent)), "links")
+        more = written(candidates(rest, True).where("a <> b").select("a", "b", "na", "nb").distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
+        if not more.isEmpty():
+            links = written(links.unionByName(verified(more, docs, size, of_rank, percent)), "links")
     roots = components(links)
-    rooted = classes.join(roots.withColumnRenamed("node", "id"), "id", "left").selectExpr("n", "s1", "s2", "coalesce(root, id) AS root")
+    rooted = stands.join(roots.withColumnRenamed("node", "id"), "id", "left").selectExpr("n", "s1", "s2", "coalesce(root, id) AS root")
     return profile.join(rooted, ["n", "s1", "s2"], "left").selectExpr("id AS doc_id", "n AS n_shingles", "CASE WHEN id IS NULL THEN NULL ELSE coalesce(root, id) END AS component_id")
 
 
