@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -50,6 +51,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """The rows of ``df`` written to the shared folder and read again: cuts the lineage and outlives lost executors."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    # Spark drops the shuffle files behind a table that is written when the driver collects its garbage.
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -69,8 +73,8 @@ def sums(arrays: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([part], pa.int32()), pa.array([array.tobytes()], pa.binary())], ["block", "part", "vector"])
 
 
-def summed(rows: DataFrame, run, dtype: str) -> dict[int, np.ndarray]:
-    """The sum of each block's arrays over all partitions, gathered in two rounds; blocks are of a fixed number and size.
+def summed(rows: DataFrame, run, dtype: str, how: str = "sum") -> dict[int, np.ndarray]:
+    """The sum (or the bits set anywhere: "or") of each block's arrays over all partitions, gathered in two rounds; blocks are of a fixed number and size.
 
     ``run`` is the mapInArrow function that yields ``sums`` of one partition.
     """
@@ -80,7 +84,9 @@ def summed(rows: DataFrame, run, dtype: str) -> dict[int, np.ndarray]:
         for batch in batches:
             for block, part, raw in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 x = np.frombuffer(raw, dtype)
-                total[block, part] = total[block, part] + x if (block, part) in total else x
+                if (block, part) in total:
+                    x = total[block, part] | x if how == "or" else total[block, part] + x
+                total[block, part] = x
         for (block, part), x in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([part], pa.int32()), pa.array([x.tobytes()], pa.binary())], ["block", "part", "vector"])
 

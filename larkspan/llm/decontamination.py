@@ -28,7 +28,7 @@ RANK = 40
 SKETCH = 48
 #: Window lengths in words; an item is searched with the shortest one that holds it.
 WINDOWS = (8, 12, 16, 24, 36, 54, 81, 122, 183, 274, 411)
-COSINE = 0.42
+COSINE = 0.47
 VERBATIM = 0.7
 PARAPHRASE = 0.5
 ANSWER = 3
