@@ -11,6 +11,8 @@
    so no linked pair is lost).  A dense bucket first gives a spanning forest
    only; pairs between components that are still apart follow in a second
    round, so that a large group of near copies never gives all its pairs.
+   A wide sketch (two to four bits a shingle) then leaves few pairs that do
+   not link, before any token set is moved.
 4. The global order is cut into fragments of equal mass; the overlap of a pair
    is counted for each fragment separately and summed for each pair.
 """
@@ -38,8 +40,10 @@ BLOCK = 256
 #: Bits of the bitmap that filters documents before a join; fixed, so it is always small.
 BITMAP = 1 << 23
 
+#: Least bits of a sketch; all narrow and wide ones are multiples by powers of two.
+NARROW = 256
+
 _U = np.uint64
-_POPCOUNT = np.array([bin(x).count("1") for x in range(256)], np.uint8)
 
 
 def _slots(tokens: np.ndarray) -> np.ndarray:
@@ -80,13 +84,13 @@ def _least_overlap(n: np.ndarray | int, percent: int) -> np.ndarray | int:
 
 
 def profiles(docs: DataFrame, size: int, percent: int, ranks: np.ndarray) -> DataFrame:
-    """(id, n, s1, s2, prefix binary, odd binary) of each document: s1, s2 identify its set."""
+    """(id, n, s1, s2, prefix, odd, wide) of each document: s1, s2 identify its set; odd and wide are its sketches."""
     order = docs.sparkSession.sparkContext.broadcast(ranks.astype(np.int32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = order.value
         for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [], [], [])
+            out: tuple[list, ...] = ([], [], [], [], [], [], [])
             for key, tokens in _sets(batch, size):
                 n = len(tokens)
                 slot = ranks[_slots(tokens)]
@@ -96,17 +100,20 @@ def profiles(docs: DataFrame, size: int, percent: int, ranks: np.ndarray) -> Dat
                     near = near[np.lexsort((tokens[near], slot[near]))][:keep]
                 else:
                     near = np.arange(n)
-                bits = 256
+                bits = NARROW
                 while bits < 8192 and bits < n // 4:
                     bits *= 2
-                odd = (np.bincount((textvec.mix64(tokens) % _U(bits)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)
+                many = bits
+                while many < 2 * n:
+                    many *= 2
+                wide = np.packbits((np.bincount((textvec.mix64(tokens) % _U(many)).astype(np.int64), minlength=many) & 1).astype(np.uint8)).tobytes()
                 with np.errstate(over="ignore"):
                     sums = int(textvec.mix64(tokens ^ _U(0x5851F42D4C957F2D)).sum(dtype=_U)), int(textvec.mix64(tokens + _U(0x14057B7EF767814F)).sum(dtype=_U))
-                for column, x in zip(out, (key, n, *np.array(sums, _U).view(np.int64).tolist(), tokens[near].tobytes(), np.packbits(odd).tobytes()), strict=True):
+                for column, x in zip(out, (key, n, *np.array(sums, _U).view(np.int64).tolist(), tokens[near].tobytes(), _fold(wide, bits).tobytes(), wide), strict=True):
                     column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["id", "n", "s1", "s2", "prefix", "odd"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["id", "n", "s1", "s2", "prefix", "odd", "wide"])
 
-    return docs.mapInArrow(run, "id long, n long, s1 long, s2 long, prefix binary, odd binary")
+    return docs.mapInArrow(run, "id long, n long, s1 long, s2 long, prefix binary, odd binary, wide binary")
 
 
 def _prefix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,10 +158,23 @@ def _fold(odd: bytes, to: int) -> np.ndarray:
     return np.packbits(np.bitwise_xor.reduce(x.reshape(-1, to), axis=0))
 
 
+def _near(x: bytes, y: bytes, both: int, percent: int) -> bool:
+    """Whether two sketches allow that their sets, of ``both`` tokens together, link; the longer one is folded."""
+    u, v, bits = int.from_bytes(x), int.from_bytes(y), 8 * min(len(x), len(y))
+    return (_halved(u, 8 * len(x), bits) ^ _halved(v, 8 * len(y), bits)).bit_count() * (100 + percent) <= both * (100 - percent)
+
+
+def _halved(x: int, bits: int, to: int) -> int:
+    while bits > to:
+        bits //= 2
+        x = (x >> bits) ^ (x & ((1 << bits) - 1))
+    return x
+
+
 def _candidates(ids: np.ndarray, ns: np.ndarray, odds: list[bytes], labels: np.ndarray | None, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Blocks of index pairs (i < j, by size) that size, labels and sketch allow."""
-    bits = 8 * min(len(x) for x in odds)
-    sketch = np.stack([np.frombuffer(x, np.uint8) if len(x) * 8 == bits else _fold(x, bits) for x in odds])
+    """Blocks of index pairs (i < j, by size) that size, labels and sketch allow; with labels, sketches are compared at full width too."""
+    bits = NARROW if labels is not None else 8 * min(len(x) for x in odds)
+    sketch = np.stack([np.frombuffer(x, np.uint8) if len(x) * 8 == bits else _fold(x, bits) for x in odds]).view(_U)
     top = np.searchsorted(ns, ns * 100 // percent, "right")
     for a in range(0, len(ids), BLOCK):
         b = min(a + BLOCK, len(ids))
@@ -167,8 +187,11 @@ def _candidates(ids: np.ndarray, ns: np.ndarray, odds: list[bytes], labels: np.n
                 i, j = i[apart], j[apart]
             for e in range(0, len(i), 1 << 16):
                 p, q = i[e : e + (1 << 16)], j[e : e + (1 << 16)]
-                apart = _POPCOUNT[sketch[p] ^ sketch[q]].sum(axis=1, dtype=np.int64)
+                apart = np.bitwise_count(sketch[p] ^ sketch[q]).sum(axis=1, dtype=np.int64)
                 near = apart * (100 + percent) <= (ns[p] + ns[q]) * (100 - percent)
+                if labels is not None:
+                    for k in np.flatnonzero(near).tolist():
+                        near[k] = _near(odds[p[k]], odds[q[k]], int(ns[p[k]] + ns[q[k]]), percent)
                 if near.any():
                     yield p[near], q[near]
 
@@ -315,6 +338,21 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, of_rank: np.ndarray,
     return summed_.where(f"100 * k >= {percent} * (na + nb - k)").select("a", "b").distinct()
 
 
+def narrowed(pairs: DataFrame, stands: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b, na, nb) that the wide sketches of ``stands`` (id, n, wide) allow."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = (batch.column(2).to_numpy() + batch.column(3).to_numpy()).tolist()
+            near = [_near(x, y, n, percent) for x, y, n in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), both, strict=True)]
+            yield batch.select(range(4)).filter(pa.array(near, pa.bool_()))
+
+    for c in ("a", "b"):
+        pairs = pairs.join(stands.selectExpr(f"id AS {c}", f"n AS n{c}", f"wide AS w{c}"), [c, f"n{c}"])
+    # A repeated id may stand for two sets of one size: the pair stays if any of them may link.
+    return pairs.select("a", "b", "na", "nb", "wa", "wb").mapInArrow(run, "a long, b long, na long, nb long").distinct()
+
+
 def _between(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     """The pairs whose ends are not in one component yet."""
     for c in ("a", "b"):
@@ -341,7 +379,7 @@ def ngram_jaccard_join(docs: DataFrame, size: int = 5, percent: int = 80, id_col
     of_rank[order] = np.minimum((mass - counts[order]) * FRAGMENTS // max(int(mass[-1]), 1), FRAGMENTS - 1)
 
     profile = written(profiles(docs, size, percent, ranks), "profiles")
-    stands = profile.where("n > 0 AND id IS NOT NULL").groupBy("n", "s1", "s2").agg(F.min(F.struct("id", "prefix", "odd")).alias("least"))
+    stands = profile.where("n > 0 AND id IS NOT NULL").groupBy("n", "s1", "s2").agg(F.min(F.struct("id", "prefix", "odd", "wide")).alias("least"))
     stands = written(stands.select("least.*", "n", "s1", "s2"), "classes")
     # A repeated id may stand for several sets: they meet in one node.
     rows = stands.select("id", "n", "prefix").mapInArrow(_prefix_rows, "token long, id long, n long")
@@ -353,7 +391,7 @@ def ngram_jaccard_join(docs: DataFrame, size: int = 5, percent: int = 80, id_col
 
     first = written(candidates(shared.withColumn("label", F.lit(0).cast("long")), False), "pairs")
     dense = first.where("dense <> 0").select(F.col("dense").alias("token")).distinct()
-    pairs = first.where("a <> b").select("a", "b", "na", "nb").distinct()
+    pairs = written(narrowed(first.where("a <> b").select("a", "b", "na", "nb").distinct(), stands, percent), "pairs")
     # Each document is verified with one partner first; of its other pairs only those between components are left to verify.
     one = pairs.groupBy("b").agg(F.min(F.struct("a", "na", "nb")).alias("x")).select("x.a", "b", "x.na", "x.nb")
     links = written(verified(one, docs, size, of_rank, percent), "links")
@@ -362,7 +400,8 @@ def ngram_jaccard_join(docs: DataFrame, size: int = 5, percent: int = 80, id_col
         links = written(links.unionByName(verified(apart, docs, size, of_rank, percent)), "links")
     if not dense.isEmpty():
         roots = components(links)
-        rest = shared.join(dense, "token", "left_semi").join(roots.withColumnRenamed("node", "id"), "id", "left").selectExpr("token", "id", "n", "odd", "coalesce(root, id) AS label")
+        rest = shared.join(dense, "token", "left_semi").join(roots.withColumnRenamed("node", "id"), "id", "left").selectExpr("token", "id", "n", "coalesce(root, id) AS label")
+        rest = rest.join(stands.select("id", "n", "wide"), ["id", "n"]).select("token", "id", "n", F.col("wide").alias("odd"), "label")
         more = written(candidates(rest, True).where("a <> b").select("a", "b", "na", "nb").distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
         if not more.isEmpty():
             links = written(links.unionByName(verified(more, docs, size, of_rank, percent)), "links")
