@@ -23,6 +23,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -272,12 +273,17 @@ def _unpacked(raw: bytes | pa.Buffer) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(x.reshape(8, len(x) // 8).T).view(_U).reshape(-1), dtype=_U)
 
 
-def fragments(docs: DataFrame, size: int, of_rank: np.ndarray) -> DataFrame:
-    """(id, fragment, tokens binary) of each document: its set, cut along the global order."""
+def fragments(docs: DataFrame, size: int, of_rank: np.ndarray, maybe: Broadcast) -> DataFrame:
+    """(id, fragment, tokens binary) of each document that the bitmap ``maybe`` cannot rule out: its set, cut along the global order.
+
+    The bitmap only saves work; the join by id that follows is what decides.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(of_rank.astype(np.int16))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            at = _place(batch.column(0))
+            batch = batch.filter(pa.array((maybe.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
             ids, frags, parts = [], [], []
             for key, tokens in _sets(batch, size):
                 frag = shared.value[_slots(tokens)]
@@ -300,8 +306,8 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(k, pa.int64())], ["a", "b", "na", "nb", "k"])
 
 
-def _maybe(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents that a bitmap of fixed size cannot rule out: a cheap filter before the join by id, never a replacement of it."""
+def _bitmap(ids: DataFrame) -> Broadcast:
+    """A bitmap of fixed size with the place of every id set."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = np.zeros(BITMAP // 8, np.uint8)
@@ -312,14 +318,7 @@ def _maybe(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
     found = summed(ids, mark, "u1", "or")
     bitmap = np.concatenate([found.get(b, np.zeros(4096, np.uint8)) for b in range(BITMAP // 8 // 4096)])
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
-
-    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = _place(batch.column(0))
-            yield batch.filter(pa.array((shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
-
-    return docs.mapInArrow(some, docs.schema)
+    return ids.sparkSession.sparkContext.broadcast(bitmap)
 
 
 def _place(ids: pa.Array) -> np.ndarray:
@@ -328,8 +327,7 @@ def _place(ids: pa.Array) -> np.ndarray:
 
 def verified(pairs: DataFrame, docs: DataFrame, size: int, of_rank: np.ndarray, percent: int) -> DataFrame:
     """The pairs (a, b, na, nb) that link, as (a, b): overlaps counted by fragment, then summed."""
-    near = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    parts = fragments(_maybe(docs, near).join(near, "id", "left_semi"), size, of_rank)
+    parts = fragments(docs, size, of_rank, _bitmap(pairs.select(F.explode(F.array("a", "b")).alias("id"))))
     asked = pairs.select("a", "b", "na", "nb", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))).alias("fragment"))
     left = asked.join(parts.withColumnsRenamed({"id": "a", "tokens": "ta"}), ["a", "fragment"])
     both = left.join(parts.withColumnsRenamed({"id": "b", "tokens": "tb"}), ["b", "fragment"])
