@@ -1,14 +1,25 @@
 """Documents scored by masked pseudo-likelihood.
 
-Words are hashed into a fixed vocabulary; the vocabulary is grouped into
-classes (the commonest words alone, the others by frequency).  A window network
-reads the classes to the left and to the right of a masked word and predicts
-the word's class; within its class a word has its share of the corpus.  Corpus
-passes over all documents gather the word counts and the counts of all (left,
-masked, right) windows, which are all that the network's loss depends on, so
-training in numpy on the driver is exact full-batch training on every window of
-the corpus, at any size of it.  The score of a document is the sum of the
-conditional log-probabilities of its words.
+A masked word is predicted from the two words to its left and the two to its
+right.  Counts of (left, right) -> word and of (two left, two right) -> word,
+keyed by hashes of the words themselves, are gathered over the whole corpus and
+grow with it; each is interpolated with the next narrower by absolute
+discounting, and a word's own occurrence is taken out of the counts that
+predict it, so that only the rest of the corpus speaks for it.
+
+Below both lies a window network for what was not seen elsewhere: words are
+hashed into a fixed vocabulary and grouped into classes (the commonest alone,
+the others by frequency); the network reads the classes to the left and to the
+right, predicts the masked word's class, and within it a word has the corpus
+share of its vocabulary entry.  Its loss depends only on the counts of all
+(left, masked, right) windows, so training in numpy on the driver is exact
+full-batch training on every window of the corpus.  This part alone has a fixed
+size.
+
+The windows are dealt to buckets by (left, right) in packed arrays; a bucket
+counts and predicts its windows and sends each chunk of documents its sums.
+The score of a document is the sum of the conditional log-probabilities of its
+words.
 """
 
 from __future__ import annotations
@@ -17,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +43,13 @@ EMBEDDING = 16
 HIDDEN = 64
 STEPS = 200
 RATE = 0.02
+#: What is taken off each count for words not seen in a context.
+DISCOUNT = 0.75
+#: Words of the corpus a bucket on average; the number of buckets grows with the corpus.
+BUCKET_WORDS = 1 << 21
+#: Bits of a word and steps of the network's log-probability in a packed window.
+WORD_BITS = 24
+LOG_STEPS = 1024
 
 _BLOCK = 4096
 
@@ -141,6 +160,97 @@ class WindowNetwork:
         return self._forward()[2].astype(np.float32).reshape(-1)
 
 
+def _beside(h: np.ndarray, before: np.ndarray, doc: np.ndarray, by: int) -> np.ndarray:
+    """The word ``by`` places on in the same document; 0 beyond its edge."""
+    at = np.arange(len(h)) + by
+    inside = (at >= before[doc]) & (at < before[doc + 1])
+    return np.where(inside, h[np.clip(at, 0, max(0, len(h) - 1))], np.uint64(0)) if len(h) else h
+
+
+def _sides(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return textvec.mix64(left * np.uint64(0x2545F4914F6CDD1D) + right)
+
+
+def _planes(x: np.ndarray, size: int) -> bytes:
+    """The low ``size`` bytes of each number, byte by byte, which compresses where numbers are small."""
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].T.tobytes()
+
+
+def _numbers(raw: np.ndarray, size: int) -> np.ndarray:
+    out = np.zeros((raw.size // size, 8), np.uint8)
+    out[:, :size] = raw.reshape(size, -1).T
+    return out.view("<u8").reshape(-1)
+
+
+#: Bytes of a packed window: context, word, outer words, log-probability, document from the one before.
+_FIELDS = (5, WORD_BITS // 8, 2, 2, 4)
+
+
+def _packed(*columns: np.ndarray) -> bytes:
+    return b"".join(_planes(x, size) for x, size in zip(columns, _FIELDS, strict=True))
+
+
+def _unpacked(raw: bytes) -> list[np.ndarray]:
+    x, out, at = np.frombuffer(raw, np.uint8), [], 0
+    n = len(x) // sum(_FIELDS)
+    for size in _FIELDS:
+        out.append(_numbers(x[at : at + n * size], size))
+        at += n * size
+    return out
+
+
+def _others(context: np.ndarray, word: np.ndarray, lower: np.ndarray) -> np.ndarray:
+    """P(word | context) from all other windows; ``lower`` is the distribution to fall back on."""
+    key = context << np.uint64(WORD_BITS) | word
+    order = np.argsort(key)
+    key = key[order]
+    pair = np.cumsum(np.append(0, key[1:] != key[:-1]))
+    top = key >> np.uint64(WORD_BITS)
+    group = np.cumsum(np.append(0, top[1:] != top[:-1]))
+    first = np.append(True, pair[1:] != pair[:-1])
+    same = np.bincount(pair)[pair]
+    total = np.bincount(group)[group] - 1
+    distinct = np.bincount(group, first)[group] - (same == 1)
+    low = lower[order]
+    out = np.empty(len(key))
+    out[order] = np.where(total > 0, (np.maximum(same - 1 - DISCOUNT, 0) + DISCOUNT * distinct * low) / np.maximum(total, 1), low)
+    return out
+
+
+def _scored(table: pa.Table) -> pa.Table:
+    """The windows of one bucket -> for each chunk the sums of its documents; heads of chunks go through."""
+    rows = sorted(table.to_pylist(), key=lambda r: (r["chunk"], r["head"]))
+    blobs = [r for r in rows if not r["head"]]
+    if blobs:
+        parts = [_unpacked(r["data"]) for r in blobs]
+        context, word, outer, log = (np.concatenate([p[k] for p in parts]) for k in range(4))
+        p = np.exp(-(log / LOG_STEPS))
+        p = _others(context, word, p)
+        wide = textvec.mix64(context << np.uint64(16) | outer) >> np.uint64(WORD_BITS)
+        logp, at = np.log(_others(wide, word, p)), 0
+        for r, part in zip(blobs, parts, strict=True):
+            doc = np.cumsum(part[4]).astype(np.int64)
+            starts = np.flatnonzero(np.diff(doc, prepend=-1))
+            sums_ = np.add.reduceat(logp[at : at + len(doc)], starts)
+            r["data"] = np.diff(doc[starts], prepend=0).astype("<u4").tobytes() + sums_.astype("<f4").tobytes()
+            at += len(doc)
+    return pa.Table.from_pylist(rows, pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("head", pa.bool_()), ("data", pa.binary())]))
+
+
+def _documents(table: pa.Table) -> pa.Table:
+    """One chunk's head and sums -> its documents."""
+    rows = sorted(table.to_pylist(), key=lambda r: (not r["head"], r["bucket"]))
+    head = np.frombuffer(rows[0]["data"], "<i8").reshape(3, -1)
+    ids, null, tokens = head[0], head[1].astype(bool), head[2]
+    score = np.zeros(len(ids))
+    for r in rows[1:]:
+        n = len(r["data"]) // 8
+        score[np.cumsum(np.frombuffer(r["data"], "<u4", n).astype(np.int64))] += np.frombuffer(r["data"], "<f4", n, 4 * n)
+    mean = pa.array(score / np.maximum(tokens, 1), mask=tokens == 0)
+    return pa.table([pa.array(ids, mask=null), pa.array(tokens), pa.array(score), mean], ["doc_id", "n_tokens", "log_likelihood", "mean_log_prob"])
+
+
 def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, log_likelihood, mean_log_prob) of every row of ``docs``.
 
@@ -156,21 +266,38 @@ def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     network.fit(window_counts(texts, classes))
     inside = np.log((counts + 1) / np.bincount(classes, counts + 1, CLASSES)[classes]).astype(np.float32)
     shared = docs.sparkSession.sparkContext.broadcast((classes, network.table(), inside))
+    bits = min(16, max(3, int(counts.sum() // BUCKET_WORDS).bit_length()))
+    part_of = "bucket int, chunk long, head boolean, data binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, table, inside = shared.value
+        chunk = TaskContext.get().partitionId() << 32
         for batch in batches:
             data, offsets = textvec.utf8(batch.column(1))
-            n, total = [np.zeros(0, np.int64)], [np.zeros(0)]
-            for _, _, piece, at in textvec.chunks(data, offsets):
+            ids = batch.column(0)
+            for a, b, piece, at in textvec.chunks(data, offsets):
                 h, _, _, before = textvec.words(piece, at)
-                slots = _slots(h)
-                running = np.concatenate([[0.0], np.cumsum(table[_windows(classes[slots], before)] + inside[slots], dtype=np.float64)])
-                n.append(np.diff(before))
-                total.append(running[before[1:]] - running[before[:-1]])
-            tokens, score = np.concatenate(n), np.concatenate(total)
-            score[tokens == 0] = 0.0
-            mean = pa.array(score / np.maximum(tokens, 1), mask=tokens == 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens), pa.array(score), mean], ["doc_id", "n_tokens", "log_likelihood", "mean_log_prob"])
-
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, log_likelihood double, mean_log_prob double")
+                n, slots = np.diff(before), _slots(h)
+                doc = np.repeat(np.arange(len(n)), n)
+                log = -(table[_windows(classes[slots], before)] + inside[slots])
+                log = np.minimum(np.round(log * LOG_STEPS), 65535).astype(np.uint64)
+                left, right = (_beside(h, before, doc, by) for by in (-1, 1))
+                near = _sides(left, right)
+                outer = _sides(_beside(h, before, doc, -2), _beside(h, before, doc, 2)) >> np.uint64(48)
+                bucket = (near >> np.uint64(64 - bits)).astype(np.uint16)
+                order = np.argsort(bucket, kind="stable")
+                near, word, outer, log, doc = near[order] << np.uint64(bits) >> np.uint64(WORD_BITS), h[order] & np.uint64((1 << WORD_BITS) - 1), outer[order], log[order], doc[order]
+                ends = np.searchsorted(bucket[order], np.arange((1 << bits) + 1))
+                some = np.flatnonzero(np.diff(ends))
+                blobs = []
+                for x, y in zip(ends[some].tolist(), ends[some + 1].tolist(), strict=True):
+                    blobs.append(_packed(near[x:y], word[x:y], outer[x:y], log[x:y], np.diff(doc[x:y], prepend=0)))
+                mine = ids.slice(a, b - a)
+                head = np.concatenate([mine.fill_null(0).to_numpy(zero_copy_only=False), mine.is_null().to_numpy(zero_copy_only=False).astype(np.int64), n]).astype("<i8").tobytes()
+                buckets = np.append(some, (chunk ^ chunk >> 32) % (1 << bits)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(buckets), pa.array([chunk] * len(buckets), pa.int64()), pa.array([False] * len(blobs) + [True]), pa.array([*blobs, head], pa.binary())], ["bucket", "chunk", "head", "data"])
+                chunk += 1
+
+    windows = rows.mapInArrow(run, part_of).repartition(1 << bits, "bucket")
+    sums_of = windows.groupBy("bucket").applyInArrow(_scored, part_of)
+    return sums_of.groupBy("chunk").applyInArrow(_documents, "doc_id long, n_tokens long, log_likelihood double, mean_log_prob double")
