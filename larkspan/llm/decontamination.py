@@ -5,9 +5,9 @@ in how many passages of the corpus each hashed word occurs; a second gathers
 A'A·O for the TF-IDF matrix A of all passages and a random O, from which the
 leading right singular vectors follow on the driver (single-pass randomised
 SVD).  In the third pass every window of every document is projected, whitened
-and compared by cosine with all benchmark items of its length.  Candidates are
-confirmed by the longest common subsequence with the item: most of it, or half
-of it together with the item's answer (its last words, in order).
+and compared by cosine with all benchmark items of its length.  Candidates that
+hold too few of the item's words are dropped; the others are confirmed by the
+longest common subsequence with the item: most of it, or half of it together with the item's answer (its last words, in order).
 """
 
 from __future__ import annotations
@@ -28,7 +28,8 @@ RANK = 40
 SKETCH = 48
 #: Window lengths in words; an item is searched with the shortest one that holds it.
 WINDOWS = (8, 12, 16, 24, 36, 54, 81, 122, 183, 274, 411)
-COSINE = 0.47
+#: Only what points away from an item is no candidate: paraphrases lie far below verbatim copies, and the count of shared words rules out the rest.
+COSINE = 0.0
 VERBATIM = 0.7
 PARAPHRASE = 0.5
 ANSWER = 3
@@ -38,6 +39,8 @@ ITEMS = 2000
 PIECE = 500_000
 
 _BLOCK = 256
+#: Items whose words are counted side by side.
+_SLAB = 128
 
 
 def _features(h: np.ndarray) -> np.ndarray:
@@ -200,6 +203,7 @@ class Search:
 
     def __init__(self, items: Items, basis: np.ndarray, centre: np.ndarray):
         self.items, self.basis = items, basis - centre
+        self._held: dict[tuple[int, int], np.ndarray] = {}
 
     def _possible(self, features: np.ndarray, low: np.ndarray, high: np.ndarray, item: np.ndarray) -> np.ndarray:
         """Whether a region holds enough of the item's words, and its answer's where those are asked for; what it denies no subsequence can give."""
@@ -212,6 +216,28 @@ class Search:
         size = self.items.sizes[item]
         return (held >= VERBATIM * size) | ((held >= PARAPHRASE * size) & answered)
 
+    def _candidates(self, features: np.ndarray, total: np.ndarray, size: int, first: np.ndarray, end: np.ndarray, low: np.ndarray, high: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(first window, windows from it, items, cosines) of pairs near enough whose region holds PARAPHRASE of the item's words."""
+        rows, latent = self.items.by_window[size]
+        count = np.uint16 if int((high - low).max(initial=0)) < 1 << 16 else np.uint32  # differences are right modulo its range
+        for s in range(0, len(rows), _SLAB):
+            some = rows[s : s + _SLAB]
+            if (size, s) not in self._held:
+                self._held[size, s] = np.ascontiguousarray(self.items.member[some].T).view(np.uint8)
+            held = self._held[size, s]
+            known = held.any(axis=1)[features]
+            at = np.append(0, np.cumsum(known))
+            seen = np.zeros((int(at[-1]) + 1, len(some)), count)
+            np.cumsum(held[features[known]], axis=0, dtype=count, out=seen[1:])
+            need = np.ceil(PARAPHRASE * self.items.sizes[some]).astype(count)
+            for a in range(0, len(first), 1 << 15):
+                b = a + (1 << 15)
+                enough = seen[at[high[a:b]]] - seen[at[low[a:b]]] >= need
+                if enough.any():
+                    cosine = _unit(total[end[a:b]] - total[first[a:b]]) @ latent[:, s : s + _SLAB]
+                    window, item = np.nonzero(enough & (cosine >= COSINE))
+                    yield a, window, some[item], cosine[window, item]
+
     def __call__(self, batch: pa.RecordBatch, column: int) -> dict[tuple[int, int], tuple[float, float, int]]:
         """(row, item) -> (share of the item, cosine, first word) of the best passage."""
         found: dict[tuple[int, int], tuple[float, float, int]] = {}
@@ -222,20 +248,19 @@ class Search:
             total = np.zeros((len(h) + 1, RANK), np.float32)
             np.cumsum(self.basis[features], axis=0, out=total[1:])
             features = np.append(features, np.int16(0)).astype(np.int64)
-            for size, (rows, latent) in self.items.by_window.items():
+            for size in self.items.by_window:
                 row, first, end = _starts(before, size)
                 slack = max(2, size // 4)
                 low, high = np.maximum(before[:-1][row], first - slack), np.minimum(before[1:][row], end + slack)
-                for a in range(0, len(row), 1 << 15):
-                    b = a + (1 << 15)
-                    cosine = _unit(total[end[a:b]] - total[first[a:b]]) @ latent
-                    window, item = np.nonzero(cosine >= COSINE)
-                    near = cosine[window, item]
-                    for c in range(0, len(window), 1 << 14):
-                        w, i, cos = window[c : c + (1 << 14)] + a, rows[item[c : c + (1 << 14)]], near[c : c + (1 << 14)]
+                some = 1 << 14
+                for a, window, item, near in self._candidates(features[:-1], total, size, first, end, low, high):
+                    for c in range(0, len(window), some):
+                        w, i, cos = window[c : c + some] + a, item[c : c + some], near[c : c + some]
                         for k in np.flatnonzero(self._possible(features, low[w], high[w], i)).tolist():
                             lo, hi, j = int(low[w[k]]), int(high[w[k]]), int(i[k])
                             region, words = h[lo:hi].tolist(), self.items.words[j]
+                            if sum(map(set(region).__contains__, words)) < PARAPHRASE * len(words):
+                                continue
                             share = common_subsequence(words, region) / len(words)
                             if share < PARAPHRASE or share < VERBATIM and not _in_order(words[-ANSWER:], region):
                                 continue

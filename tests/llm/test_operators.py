@@ -216,6 +216,30 @@ def test_contamination(spark, empty):
     assert decontamination.contamination(docs, bench.where("false")).count() == 0
 
 
+def paraphrased(words, kept, r):
+    return [w if j >= len(words) - 3 or r.random() < kept else r.choice(WORDS) for j, w in enumerate(words)]
+
+
+def test_contamination_keeps_candidates_of_paraphrases(spark):
+    r = random.Random(3)
+    items = [" ".join(r.choice(WORDS) for _ in range(30)) for _ in range(40)]
+    docs = [" ".join([*r.choices(WORDS, k=60), *paraphrased(x.split(), 0.6, r), *r.choices(WORDS, k=60)]) for x in items]
+    want = set()
+    for i, text in enumerate(docs):
+        for j, item in enumerate(items):
+            h, words = text.split(), item.split()
+            for a in range(0, len(h) - 36 + 9, 9):
+                first = min(a, len(h) - 36)
+                region = h[max(0, first - 9) : first + 36 + 9]
+                share = decontamination.common_subsequence(words, region) / len(words)
+                if share >= decontamination.VERBATIM or share >= decontamination.PARAPHRASE and decontamination._in_order(words[-3:], region):
+                    want.add((i, j))
+    frame = spark.createDataFrame([*enumerate(docs)], "doc_id long, text string")
+    got = {(x["doc_id"], x["item_id"]) for x in decontamination.contamination(frame, spark.createDataFrame([*enumerate(items)], "item_id long, text string")).collect()}
+    found = sum((i, i) in got for i in range(40))
+    assert got <= want and found == sum((i, i) in want for i in range(40)) > 20
+
+
 def test_common_subsequence():
     for _ in range(200):
         a, b = ([R.randint(0, 5) for _ in range(R.randint(1, 15))] for _ in range(2))
