@@ -26,7 +26,7 @@ FEATURES = 1 << 14
 PASSAGE = 48
 RANK = 40
 SKETCH = 48
-#: Window lengths in words; an item is searched with the shortest one that holds it.
+#: Window lengths in words, carried on as far as the longest item; an item is searched with the shortest one that holds it.
 WINDOWS = (8, 12, 16, 24, 36, 54, 81, 122, 183, 274, 411)
 #: Only what points away from an item is no candidate: paraphrases lie far below verbatim copies, and the count of shared words rules out the rest.
 COSINE = 0.0
@@ -141,6 +141,14 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
 
 
+def _lengths(longest: int) -> list[int]:
+    """WINDOWS, carried on in the same ratio until one holds ``longest`` words."""
+    lengths = list(WINDOWS)
+    while lengths[-1] < longest:
+        lengths.append(lengths[-1] * 3 // 2)
+    return lengths
+
+
 class Items:
     """Benchmark items with their words, answers and, for each window length, latent directions."""
 
@@ -150,11 +158,12 @@ class Items:
         h, _, _, before = textvec.words(data, offsets, textvec.PUNCTUATION)
         rows: dict[int, list[int]] = {}
         latent = []
+        lengths = _lengths(int(np.diff(before).max(initial=0)))
         for i, (a, b) in enumerate(zip(before[:-1], before[1:], strict=True)):
             self.words.append(h[a:b].tolist())
             latent.append((basis[_features(h[a:b])] - centre).sum(axis=0) if b > a else np.zeros(RANK))
             if b > a:
-                rows.setdefault(next((w for w in WINDOWS if w >= b - a), WINDOWS[-1]), []).append(i)
+                rows.setdefault(next(w for w in lengths if w >= b - a), []).append(i)
         n = len(ids)
         self.sizes = np.array([len(w) for w in self.words], np.int64)
         self.member = np.zeros((n, FEATURES + 1), bool)  # the last column stands for no word
@@ -252,7 +261,7 @@ class Search:
                 row, first, end = _starts(before, size)
                 slack = max(2, size // 4)
                 low, high = np.maximum(before[:-1][row], first - slack), np.minimum(before[1:][row], end + slack)
-                some = 1 << 14
+                some = max(1, min(1 << 14, (1 << 23) // (size + 2 * slack)))
                 for a, window, item, near in self._candidates(features[:-1], total, size, first, end, low, high):
                     for c in range(0, len(window), some):
                         w, i, cos = window[c : c + some] + a, item[c : c + some], near[c : c + some]

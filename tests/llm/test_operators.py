@@ -240,6 +240,17 @@ def test_contamination_keeps_candidates_of_paraphrases(spark):
     assert got <= want and found == sum((i, i) in want for i in range(40)) > 20
 
 
+def test_contamination_by_a_long_item(spark):
+    r = random.Random(4)
+    item = " ".join(r.choices(WORDS, k=1500))
+    other = " ".join(r.choices(WORDS, k=1500))
+    frame = spark.createDataFrame([(0, f"{other} {item} {other}"), (1, other), (2, item)], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, item), (8, None)], "item_id long, text string")
+    got = {(x["doc_id"], x["item_id"]): x["lcs_share"] for x in decontamination.contamination(frame, bench).collect()}
+    assert got == {(0, 7): 1.0, (2, 7): 1.0}
+    assert [x["doc_id"] for x in decontamination.without_contamination(frame, bench).collect()] == [1]
+
+
 def test_common_subsequence():
     for _ in range(200):
         a, b = ([R.randint(0, 5) for _ in range(R.randint(1, 15))] for _ in range(2))
