@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspan.llm.common import ship, written
+from larkspan.llm.common import ship, unused, written
 
 MEMTABLE = 50_000
 FANOUT = 4
@@ -212,8 +212,17 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, that stay: one of each set of equal texts, and rows with a null id."""
-    stays = exact_dedup(docs, id_col, text_col).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), F.col("length").alias("_length")).distinct()
-    same = (F.sha2(stripped(F.col(text_col)), 256) == F.col("_sha")) & (F.length(F.coalesce(F.col(text_col), F.lit(""))) == F.col("_length"))
-    once = docs.join(stays, F.col(id_col).cast("long") == F.col("_id")).where(same).dropDuplicates(["_id", "_sha"])
-    return once.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
+    """The rows of ``docs``, all columns, that stay: one of each set of equal texts, and rows with a null id.
+
+    A null text counts as empty.  Of rows that repeat id and text, the one
+    smallest in its other columns stays (compared as JSON, nulls first), so the
+    result is the same in every run.  Columns of any name are allowed; an empty
+    table gives an empty one.
+    """
+    key, sha, size, row = (unused(docs, c) for c in ("stays_id", "stays_sha", "stays_length", "stays_row"))
+    stays = exact_dedup(docs, id_col, text_col).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias(key), F.col("text_sha256").alias(sha), F.col("length").alias(size)).distinct()
+    same = (F.sha2(stripped(F.col(text_col)), 256) == F.col(sha)) & (F.length(F.coalesce(F.col(text_col), F.lit(""))) == F.col(size))
+    found = docs.join(stays, F.col(id_col).cast("long") == F.col(key)).where(same)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    once = found.groupBy(key, sha).agg(F.min_by(F.struct(*columns), F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]))).alias(row))
+    return once.select(f"{row}.*").unionByName(docs.where(F.col(id_col).isNull()))
