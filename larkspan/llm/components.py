@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspan.llm.common import written
+from larkspan.llm.common import discard, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -26,4 +26,5 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("b > a").join(least, "a").selectExpr("b AS a", "m AS b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").selectExpr("b AS a", "m AS b").unionByName(least.selectExpr("a", "m AS b"))
-        now = written(small.where("a <> b").distinct(), "edges")
+        old, now = now, written(small.where("a <> b").distinct(), "edges")
+        discard(old)
