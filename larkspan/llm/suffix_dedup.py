@@ -36,6 +36,8 @@ SPAN = 50
 GRAM = 16
 #: Segments that one partition holds before it settles and sends them.
 HELD = 400_000
+#: Bytes of text for each bucket of owners, so that a bucket is held in one task however large the input is.
+BUCKET = 8_000_000
 #: Bytes of segments in one suffix array, unless one owner has more.
 ARRAY = 150_000
 
@@ -79,22 +81,43 @@ def _planes(x: np.ndarray) -> bytes:
 
 
 #: Columns of a packed block, sorted by owner, which is stored as differences.
-_PLACE = (("owner", "<u8"), ("print", "<u8"), ("id", "<i8"), ("version", "<i4"), ("start", "<u4"), ("size", "<u4"))
-_WIDTH = sum(np.dtype(t).itemsize for _, t in _PLACE)
+_PLACE = (("owner", "<u8"), ("print", "<u8"), ("id", "<i8"), ("version", "<i8"), ("start", "<u4"), ("size", "<u4"))
+#: Columns of a packed block of spans that go.
+_GOES = _PLACE[2:]
 _OWN = "bucket int, settled boolean, payload binary"
 
 
-def _pack(places: dict[str, np.ndarray]) -> bytes:
-    return b"".join(_planes((np.diff(places[k], prepend=_U(0)) if k == "owner" else places[k]).astype(t)) for k, t in _PLACE)
+def _pack(places: dict[str, np.ndarray], columns: tuple = _PLACE) -> bytes:
+    return b"".join(_planes((np.diff(places[k], prepend=_U(0)) if k == "owner" else places[k]).astype(t)) for k, t in columns)
 
 
-def _unpack(raw: bytes | pa.Buffer) -> dict[str, np.ndarray]:
-    n, at, out = len(raw) // _WIDTH, 0, {}
-    for k, t in _PLACE:
-        width = np.dtype(t).itemsize
-        out[k] = np.ascontiguousarray(np.frombuffer(raw, np.uint8, width * n, at).reshape(width, n).T).view(t).reshape(-1)
-        at += width * n
-    out["owner"] = np.cumsum(out["owner"], dtype=_U)
+def _unpack(raw: bytes | pa.Buffer, columns: tuple = _PLACE) -> dict[str, np.ndarray]:
+    widths = {k: np.dtype(t).itemsize for k, t in columns}
+    n, at, out = len(raw) // sum(widths.values()), 0, {}
+    for k, t in columns:
+        out[k] = np.ascontiguousarray(np.frombuffer(raw, np.uint8, widths[k] * n, at).reshape(widths[k], n).T).view(t).reshape(-1)
+        at += widths[k] * n
+    if "owner" in out:
+        out["owner"] = np.cumsum(out["owner"], dtype=_U)
+    return out
+
+
+def _fused(places: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Places that touch or overlap in one text become one span; the order is that of the texts."""
+    places = {k: places[k] for k, _ in _GOES}
+    places = _some(places, np.lexsort((places["start"], places["version"], places["id"])))
+    if not len(places["id"]):
+        return places
+    other = np.ones(len(places["id"]), bool)
+    other[1:] = (places["id"][1:] != places["id"][:-1]) | (places["version"][1:] != places["version"][:-1])
+    shift = (np.cumsum(other) - 1) << 33  # texts one behind the other, further apart than a text is long
+    start = places["start"].astype(np.int64) + shift
+    end = np.maximum.accumulate(start + places["size"].astype(np.int64))
+    new = np.ones(len(start), bool)
+    new[1:] = start[1:] > end[:-1]
+    at = np.flatnonzero(new)
+    out = _some(places, at)
+    out["size"] = np.append(end[at[1:] - 1], end[-1]) - start[at]
     return out
 
 
@@ -122,17 +145,17 @@ def _own_rows(span: int, gram: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Segments by bucket of their owner; equal ones of this partition are settled here and only the smallest document's go on."""
         held: list[dict[str, np.ndarray]] = []
-        size, turn = 0, TaskContext.get().partitionId()
+        size, turn = 0, TaskContext.get().partitionId() * 1009
 
         def send() -> pa.RecordBatch:
             nonlocal turn
             go, gone = _settle(held)
-            width = (1 << 64) // buckets + 1
-            cut = np.searchsorted(go["owner"], np.array([min(b * width, (1 << 64) - 1) for b in range(1, buckets)], _U))
-            cut = [0, *cut.tolist(), len(go["owner"])]
-            rows = [(b, False, _pack({k: v[x:y] for k, v in go.items()})) for b, (x, y) in enumerate(zip(cut, cut[1:], strict=False)) if x < y]
+            gone = _fused(gone)
+            of = go["owner"] // _U((1 << 64) // buckets + 1)
+            cut = np.append(np.flatnonzero(np.diff(of, prepend=of[:1] + _U(1))), len(of)).tolist()
+            rows = [(int(of[x]), False, _pack({k: v[x:y] for k, v in go.items()})) for x, y in zip(cut, cut[1:], strict=False)]
             for a in range(0, len(gone["id"]), 50_000):
-                rows.append((turn % buckets, True, _pack({k: v[a : a + 50_000] for k, v in gone.items()})))
+                rows.append(((turn * 0x9E3779B1 >> 7) % buckets, True, _pack({k: v[a : a + 50_000] for k, v in gone.items()}, _GOES)))
                 turn += 1
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.bool_(), pa.binary()), strict=True)], ["bucket", "settled", "payload"])
 
@@ -153,7 +176,7 @@ def _own_rows(span: int, gram: int, buckets: int):
     return run
 
 
-_FOUND = "id long, version int, start int, end int, owners array<bigint>"
+_FOUND = "id long, version long, start int, end int, owners array<bigint>"
 
 
 def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,7 +193,7 @@ def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             return
         stays, gone = _settle(held)
         if len(gone["id"]):
-            yield spans(gone)
+            yield spans(_fused(gone))
         first = np.flatnonzero(np.diff(stays["owner"], prepend=stays["owner"][:1] + _U(1)))
         several = np.minimum.reduceat(stays["id"], first) < np.maximum.reduceat(stays["id"], first)
         asked = np.repeat(several, np.diff(np.append(first, len(stays["id"]))))
@@ -181,13 +204,13 @@ def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first = np.flatnonzero(np.diff(key, prepend=key[:1] - 1))
             owners_ = pa.ListArray.from_arrays(pa.array(np.append(first, len(key)), pa.int32()), pa.array(owner.view(np.int64)))
             none = pa.nulls(len(first), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(key[first]), none, none, none, owners_], ["id", "version", "start", "end", "owners"])
+            yield pa.RecordBatch.from_arrays([pa.array(key[first]), pa.nulls(len(first), pa.int64()), none, none, owners_], ["id", "version", "start", "end", "owners"])
 
     for batch in batches:
         for i, (bucket, settled) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
             payload = batch.column(2)[i].as_buffer()
             if settled:
-                yield spans(_unpack(payload))
+                yield spans(_unpack(payload, _GOES))
                 continue
             if bucket != current:
                 yield from settle()
@@ -196,7 +219,7 @@ def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from settle()
 
 
-_SEGMENT = "owner long, id long, version int, start int, segment binary"
+_SEGMENT = "owner long, id long, version long, start int, segment binary"
 
 
 def _merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -357,7 +380,7 @@ def _removals(span: int):
         def flush() -> pa.RecordBatch:
             columns = list(zip(*out, strict=True)) if out else [(), (), (), ()]
             out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)], ["id", "version", "start", "end"])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["id", "version", "start", "end"])
 
         for batch in batches:
             for owner, key, version, start, segment in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
@@ -409,18 +432,18 @@ def suffix_dedup(docs: DataFrame, span: int = SPAN, gram: int = GRAM, id_col: st
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     named = rows.where("id IS NOT NULL")
-    buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    repeated = not named.groupBy("id").count().where("count > 1").isEmpty()
-    version = F.hash("text") if repeated else F.lit(0)
+    seen = named.select("id", F.octet_length("text").alias("bytes")).groupBy("id").agg(F.count("*").alias("rows"), F.sum("bytes").alias("bytes")).agg(F.max("rows"), F.sum("bytes")).first()
+    repeated, buckets = (seen[0] or 0) > 1, max(16, -(-(seen[1] or 0) // BUCKET))
+    version = F.xxhash64("text") if repeated else F.lit(0).cast("long")
     texts = named.select("id", "text")
     own = texts.select("id", version.alias("version"), "text").mapInArrow(_own_rows(span, gram, buckets), _OWN)
     found = written(own.repartition("bucket").sortWithinPartitions("settled", "bucket").mapInArrow(_settled, _FOUND), "spans")
     marks = found.where("owners IS NOT NULL").groupBy("id").agg(F.flatten(F.collect_list("owners")).alias("owners"))
     segments = texts.join(marks, "id").select("id", version.alias("version"), "text", "owners").mapInArrow(_segment_rows(span, gram), _SEGMENT)
-    removals = segments.repartition("owner").sortWithinPartitions("owner").mapInArrow(_removals(span), "id long, version int, start int, end int")
+    removals = segments.repartition("owner").sortWithinPartitions("owner").mapInArrow(_removals(span), "id long, version long, start int, end int")
     removals = removals.unionByName(found.where("owners IS NULL").drop("owners"))
     merged = removals.groupBy("id").agg(F.collect_list(F.struct("version", "start", "end")).alias("found"))
     mine = F.filter("found", lambda x: x["version"] == version)
-    rest = rows.where("id IS NULL").select("id", "text", F.lit(None).cast("array<struct<version:int,start:int,end:int>>").alias("found"))
+    rest = rows.where("id IS NULL").select("id", "text", F.lit(None).cast("array<struct<version:bigint,start:int,end:int>>").alias("found"))
     joined = texts.join(merged, "id", "left").select("id", "text", mine.alias("found")).unionByName(rest)
     return joined.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
