@@ -2,13 +2,16 @@
 
 DataFrame and SQL functions only.  A pattern finds candidates with the text
 before and after; features are the candidate's length, its character
-transitions and variety, how much of it a dictionary covers, its path and its
-neighbouring words.  The forest is trained on labelled findings: a table of
-(text, path, label), by default one made from rules below.
+transitions (log-odds of each character after the one before it in secrets and
+in other findings) and variety, how much of it a dictionary covers, its path and
+its neighbouring words.  Transitions and forest are trained on labelled
+findings: a table of (text, path, label), by default one made from rules below.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -21,11 +24,15 @@ KEEP = 0.5
 #: Labelled findings made by rule when none are given.
 FINDINGS = 1600
 NEAR = 48
+#: Candidates of a text whose places are summed together, so that many of them do not cost their square.
+BLOCK = 512
+#: Characters that the transitions know; every other one counts as one more.
+ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/=_-."
 
 # Names that announce a secret, and how well-known secrets look.
 _KEY = r"(?i:(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|client[_-]?secret)[\"']?\s{0,3}[=:]\s{0,3}[\"']?)"
 _KNOWN = r"AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|[sr]k_live_[A-Za-z0-9]{16,}|AIza[0-9A-Za-z_-]{35}|-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"
-_GENERIC = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,64}[0-9])[A-Za-z0-9+/_-]{16,}={0,2}"
+_GENERIC = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9]|[A-Za-z+/_-]*?[a-z][A-Z])[A-Za-z0-9+/_-]{16,}={0,2}"
 CANDIDATE = rf"{_KEY}[^\s\"',;]{{6,}}|{_KNOWN}|{_GENERIC}"
 # Neighbouring words that speak for and against a secret, and telling paths.
 _FOR = r"(?i)(password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth|bearer|credential|private)"
@@ -47,11 +54,12 @@ def _candidates(rows: DataFrame) -> DataFrame:
     """One row a candidate: id, path, found, start (characters before it), before, after."""
     cut = F.split("text", CANDIDATE, -1)
     hit = rows.where(F.col("text").rlike(CANDIDATE)).withColumn("found", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0))).withColumn("gap", cut)
-    running = (
-        "aggregate(sequence(0, size(found) - 1), named_struct('at', 0L, 'out', CAST(array() AS array<bigint>)), "
-        "(s, i) -> named_struct('at', s.at + length(gap[i]) + length(found[i]), 'out', concat(s.out, array(s.at + length(gap[i])))), s -> s.out)"
-    )
-    some = hit.withColumn("starts", F.expr(running))
+    before = "aggregate({0}, named_struct('at', 0L, 'out', CAST(array() AS array<bigint>)), (s, x) -> named_struct('at', s.at + x, 'out', concat(s.out, array(s.at))), s -> s.out)"
+    some = hit.withColumn("steps", F.expr("transform(found, (f, i) -> CAST(length(gap[i]) + length(f) AS BIGINT))"))
+    some = some.withColumn("parts", F.expr(f"transform(sequence(0, (size(steps) - 1) div {BLOCK}), b -> slice(steps, CAST(b * {BLOCK} + 1 AS INT), {BLOCK}))"))
+    some = some.withColumn("base", F.expr(before.format("transform(parts, p -> aggregate(p, 0L, (s, x) -> s + x))")))
+    some = some.withColumn("ahead", F.expr(f"flatten(transform(parts, (p, b) -> transform({before.format('p')}, x -> x + base[b])))"))
+    some = some.withColumn("starts", F.expr("transform(ahead, (x, i) -> x + length(gap[i]))"))
     some = some.withColumn("c", F.explode(F.expr(f"transform(sequence(0, size(found) - 1), i -> named_struct('found', found[i], 'start', starts[i], 'before', right(gap[i], {NEAR}), 'after', left(gap[i + 1], {NEAR})))")))
     key = F.regexp_extract("c.found", f"^({_KEY})", 1)
     return some.select(*[c for c in rows.columns if c != "text"], F.expr("c.start").alias("start"), "c.before", "c.after", key.alias("key"), F.substring(F.col("c.found"), F.length(key) + 1, F.length("c.found")).alias("token"))
@@ -61,19 +69,41 @@ def _share(pattern: str, text: Column) -> Column:
     return F.regexp_count(text, F.lit(pattern)) / F.greatest(F.length(text), F.lit(1))
 
 
-def features(found: DataFrame) -> DataFrame:
+def transitions(known: DataFrame) -> list[float]:
+    """Log-odds, by code of a character and the one before it, of secrets against other findings of ``known`` (token, label)."""
+    width = len(ALPHABET) + 1
+    steps = known.select("label", F.expr(f"transform(split(token, ''), x -> instr('{ALPHABET}', x))").alias("codes"))
+    pairs = steps.select("label", F.explode(F.expr(f"CASE WHEN size(codes) > 1 THEN transform(sequence(1, size(codes) - 1), i -> codes[i - 1] * {width} + codes[i]) ELSE CAST(array() AS array<int>) END")).alias("pair"))
+    seen = pairs.groupBy("pair").agg(F.sum(F.when(F.col("label") > 0, 1).otherwise(0)).alias("secret"), F.sum(F.when(F.col("label") > 0, 0).otherwise(1)).alias("other")).collect()  # width squared rows at most
+    count = {True: [0.0] * width**2, False: [0.0] * width**2}
+    for r in seen:
+        count[True][r["pair"]], count[False][r["pair"]] = float(r["secret"]), float(r["other"])
+    out = []
+    for first in range(width):
+        secret, other = (count[k][first * width : (first + 1) * width] for k in (True, False))
+        out += [math.log((x + 0.5) / (sum(secret) + 0.5 * width)) - math.log((y + 0.5) / (sum(other) + 0.5 * width)) for x, y in zip(secret, other, strict=True)]
+    return [round(x, 4) for x in out]
+
+
+def _mean_odds(odds: list[float]) -> Column:
+    width = len(ALPHABET) + 1
+    return F.expr(f"aggregate(transform(split(token, ''), x -> instr('{ALPHABET}', x)), named_struct('last', -1, 'sum', 0.0D), (s, c) -> named_struct('last', c, 'sum', s.sum + CASE WHEN s.last < 0 THEN 0.0D ELSE odds[s.last * {width} + c] END), s -> s.sum / (length(token) - 1))")
+
+
+def features(found: DataFrame, odds: list[float]) -> DataFrame:
     token, lower = F.col("token"), F.lower("token")
     covered = F.length(lower) - F.length(F.regexp_replace(lower, "|".join(sorted(DICTIONARY, key=lambda w: (-len(w), w))), ""))
     size = F.greatest(F.length(token), F.lit(1))
-    return found.withColumns({
-        "f_length": F.least(F.length(token), F.lit(200)).cast("double"),
-        "f_transitions": _share("(?<=[a-z])(?=[^a-z])|(?<=[A-Z])(?=[^A-Z])|(?<=[0-9])(?=[^0-9])", token),
+    return found.withColumn("odds", F.lit(odds).cast("array<double>")).withColumns({
+        "f_length": F.log1p(F.length(token)),
+        "f_transitions": F.when(F.length(token) > 1, _mean_odds(odds)).otherwise(F.lit(0.0)),
+        "f_changes": _share("(?<=[a-z])(?=[^a-z])|(?<=[A-Z])(?=[^A-Z])|(?<=[0-9])(?=[^0-9])", token),
         "f_digits": _share("[0-9]", token),
         "f_upper": _share("[A-Z]", token),
         "f_hex": _share("[0-9a-f]", token),
         "f_signs": _share("[^A-Za-z0-9]", token),
         "f_runs": _share(r"(.)\1", token),
-        "f_variety": F.size(F.array_distinct(F.split(F.substring(token, 1, 200), ""))) / F.least(size, F.lit(200)),
+        "f_variety": F.size(F.array_distinct(F.split(token, ""))) / F.sqrt(size),
         "f_vowels": _share("(?i)[aeiou]", token),
         "f_dictionary": covered / size,
         "f_key": (F.length("key") > 0).cast("double"),
@@ -85,7 +115,7 @@ def features(found: DataFrame) -> DataFrame:
     })
 
 
-FEATURES = ("f_length", "f_transitions", "f_digits", "f_upper", "f_hex", "f_signs", "f_runs", "f_variety", "f_vowels", "f_dictionary", "f_key", "f_known", "f_for", "f_against", "f_quoted", "f_path")
+FEATURES = ("f_length", "f_transitions", "f_changes", "f_digits", "f_upper", "f_hex", "f_signs", "f_runs", "f_variety", "f_vowels", "f_dictionary", "f_key", "f_known", "f_for", "f_against", "f_quoted", "f_path")
 
 
 def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
@@ -107,12 +137,31 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
     return rows.selectExpr(f"concat({around}, ' ', f, ' ', {around})  AS text", f"{path} AS path", "label")
 
 
-def train(findings: DataFrame) -> RandomForestClassificationModel:
-    """The forest fitted on labelled findings; of a finding's candidates the first counts."""
-    rows = findings.select(F.coalesce("text", F.lit("")).alias("text"), F.coalesce("path", F.lit("")).alias("path"), F.col("label").cast("double").alias("label")).where("label IS NOT NULL").withColumn("row", F.xxhash64("text", "path"))
-    known = features(_candidates(rows)).where("start = 0 OR start < 64").na.fill(0.0, list(FEATURES))
-    table = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(known).select("features", "label").repartition(1).sortWithinPartitions(F.xxhash64(vector_to_array("features")))
-    return RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=5).fit(table)
+class Judge:
+    """What the labelled findings teach: the log-odds of transitions and the forest."""
+
+    def __init__(self, findings: DataFrame):
+        """Of a finding's candidates the first counts; a finding without a label, or without a candidate, teaches nothing."""
+        rows = findings.select(F.coalesce("text", F.lit("")).alias("text"), F.coalesce("path", F.lit("")).alias("path"), F.col("label").cast("double").alias("label")).where("label IS NOT NULL").withColumn("row", F.xxhash64("text", "path"))
+        known = _candidates(rows).groupBy("row", "label", "path").agg(F.min_by(F.struct("start", "before", "after", "key", "token"), "start").alias("c")).select("row", "label", "path", "c.*")
+        self.odds = transitions(known)
+        table = self.vectors(known).select("features", "label").repartition(1).sortWithinPartitions(F.xxhash64(vector_to_array("features")))
+        self.forest: RandomForestClassificationModel = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=5).fit(table)
+
+    def vectors(self, candidates: DataFrame) -> DataFrame:
+        return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(features(candidates, self.odds).na.fill(0.0, list(FEATURES)))
+
+    def scored(self, candidates: DataFrame) -> DataFrame:
+        """The candidates with their features and ``score``, the forest's share for a secret."""
+        return self.forest.transform(self.vectors(candidates)).withColumn("score", F.round(F.element_at(vector_to_array("probability"), 2), 6))
+
+
+def quality(findings: DataFrame, held: DataFrame) -> dict[str, float]:
+    """Precision and recall at ``KEEP`` on findings that the training did not see; a finding without a candidate counts as let go."""
+    rows = held.select("text", F.coalesce("path", F.lit("")).alias("path"), F.col("label").cast("int").alias("label")).withColumn("row", F.monotonically_increasing_id())
+    best = Judge(findings).scored(_candidates(rows)).groupBy("row").agg(F.max("score").alias("score"))
+    n = rows.join(best, "row", "left").select("label", (F.coalesce("score", F.lit(0.0)) >= KEEP).cast("int").alias("said")).agg(F.sum(F.expr("label * said")).alias("hit"), F.sum("said").alias("said"), F.sum("label").alias("secret")).first()
+    return {"precision": n["hit"] / max(1, n["said"]), "recall": n["hit"] / max(1, n["secret"])}
 
 
 def secret_scan(docs: DataFrame, findings: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source") -> DataFrame:
@@ -124,9 +173,6 @@ def secret_scan(docs: DataFrame, findings: DataFrame | None = None, id_col: str
     """
     path = F.coalesce(F.col(path_col).cast("string"), F.lit("")) if path_col else F.lit("")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), path.alias("path"))
-    model = train(labelled_findings(docs.sparkSession) if findings is None else findings)
-    found = features(_candidates(rows)).na.fill(0.0, list(FEATURES))
-    scored = model.transform(VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(found))
-    score = F.element_at(vector_to_array("probability"), 2)
+    judge = Judge(labelled_findings(docs.sparkSession) if findings is None else findings)
     kind = F.when(F.col("f_known") > 0, "known").when(F.col("f_key") > 0, "assigned").otherwise("generic")
-    return scored.select("doc_id", (F.col("start") + F.length("key")).alias("start"), F.length("token").cast("long").alias("length"), kind.alias("kind"), F.sha2("token", 256).alias("secret_sha256"), F.round(score, 6).alias("score")).withColumn("is_secret", F.col("score") >= KEEP)
+    return judge.scored(_candidates(rows)).select("doc_id", (F.col("start") + F.length("key")).alias("start"), F.length("token").cast("long").alias("length"), kind.alias("kind"), F.sha2("token", 256).alias("secret_sha256"), "score").withColumn("is_secret", F.col("score") >= KEEP)
