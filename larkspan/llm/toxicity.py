@@ -27,10 +27,8 @@ from pyspark.sql import functions as F
 
 from larkspan.llm.common import ship
 
-#: Labelled rows used for fitting at most, terms of the lexicon, exception phrases.
+#: Labelled rows used for fitting at most; the lexicon and the exception phrases are as large as these rows make them.
 SAMPLE = 40_000
-TERMS = 4096
-PHRASES = 1024
 STEMS = (4, 5, 6)
 LEAST_TOXIC = 4
 LEAST_WEIGHT = 3.0
@@ -50,7 +48,7 @@ LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@
 # Harmless phrases around words that a lexicon may hold.
 EXCEPTIONS = ("trash can", "trash bin", "circus clown", "clown fish", "pathetic fallacy", "sore loser rule")
 # Characters without a width.
-INVISIBLE = "­​‌‍⁠﻿"
+INVISIBLE = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
 
 _FOLD = {ord(a): b for a, b in LOOKALIKES.items()} | {ord(c): None for c in INVISIBLE}
 _INSIDE = re.compile(r"(?<=[^\W\d_])[013457@$8](?=[^\W_]|[@$](?=[^\W_]))|(?<![^\W_])[013457@$8](?=[^\W\d_])|(?<=[^\W\d_])[0134578](?![^\W_])|(?<=[^\W_])[013457@$8](?=[^\W\d_])")
@@ -92,9 +90,18 @@ class Lexicon:
                 spared.append((start, end))
             elif weight > found.get(start, 0.0):
                 found[start] = weight
-        for a, b in spared:
-            found = {at: w for at, w in found.items() if not a <= at < b}
-        return found
+        return found if not spared else self._outside(found, sorted(spared))
+
+    @staticmethod
+    def _outside(found: dict[int, float], spared: list[tuple[int, int]]) -> dict[int, float]:
+        """The hits that start in none of the spans, which come sorted by their first position."""
+        out, k, until = {}, 0, -1
+        for at in sorted(found):
+            while k < len(spared) and spared[k][0] <= at:
+                until, k = max(until, spared[k][1]), k + 1
+            if at >= until:
+                out[at] = found[at]
+        return out
 
     def features(self, text: str) -> tuple[float, float]:
         folded = fold(text)
@@ -152,11 +159,10 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     counts = rows.mapInArrow(count, "term string, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     good_enough = (F.col("term") == "") | ((F.col("bad") >= LEAST_TOXIC) & (F.col("bad") > F.col("good")))
-    kept = counts.where(good_enough).orderBy(F.col("term") != "", (F.col("good") + 1) / (F.col("bad") + 1), "term").limit(4 * TERMS).collect()
+    kept = counts.where(good_enough).collect()  # terms of LEAST_TOXIC of SAMPLE rows or more
     size = next(((r["bad"], r["good"]) for r in kept if not r["term"]), (0, 0))
     weights = {r["term"]: float(np.log((r["bad"] + 0.5) / (size[0] + 1)) - np.log((r["good"] + 0.5) / (size[1] + 1))) for r in kept if r["term"]}
-    heavy = sorted((t for t, w in weights.items() if w >= LEAST_WEIGHT), key=lambda t: (-weights[t], t))[:TERMS]
-    weights = {t: weights[t] for t in heavy}
+    weights = {t: weights[t] for t in sorted(weights) if weights[t] >= LEAST_WEIGHT}
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,7 +179,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         names = [p for p in seen[0]]  # a phrase no clean text holds is no exception
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([seen[1][t] for t in names], pa.int64()), pa.array([seen[0][t] for t in names], pa.int64())], ["phrase", "bad", "good"])
 
-    spared = rows.mapInArrow(phrases, "phrase string, bad long, good long").groupBy("phrase").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).where(F.expr(f"good >= {LEAST_CLEAN} AND bad * 4 <= good")).orderBy(F.desc("good"), "phrase").limit(PHRASES).collect()
+    spared = rows.mapInArrow(phrases, "phrase string, bad long, good long").groupBy("phrase").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).where(F.expr(f"good >= {LEAST_CLEAN} AND bad * 4 <= good")).orderBy("phrase").collect()  # phrases of LEAST_CLEAN of SAMPLE rows or more
     exceptions = (*EXCEPTIONS, *(r["phrase"] for r in spared))
     model = docs.sparkSession.sparkContext.broadcast((weights, exceptions))
 
