@@ -2,31 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larkspan.functions import money as M
 from larkspan.functions import text as T
-from larkspan.operators.match import match
 from larkspan.operators.similarity import dice_join
+from larkspan.plans.registry import QUERIES, SQL, query  # noqa: F401
 from larkspan.sources import adapters as A
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(views: str = "", sql: str | None = None) -> Callable:
-    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            SQL[f.__name__] = A.with_views(views, sql) if views else sql
-        return f
-
-    return add
-
-
 def pick(order: list[Column], *by: str) -> Column:
     return F.row_number().over(Window.partitionBy(*by).orderBy(*order))
 
@@ -450,12 +434,3 @@ def row_pairs_full_outer(spark: SparkSession, d: str) -> DataFrame:
     t = side("invoice", "expected").join(side("price_list", "actual"), ["spec_id", "pos"], "full")
     status = F.expr("CASE WHEN actual IS NULL THEN 'MISSING' WHEN expected IS NULL THEN 'EXTRA' WHEN abs(expected - actual) <= 0.01 THEN 'OK' WHEN abs(expected - actual) / expected <= 0.05 THEN 'WARN' ELSE 'FAIL' END")
     return t.select("spec_id", "pos", "expected", "actual", status.alias("status"))
-
-
-@query()
-def match_full_ladder(spark: SparkSession, d: str) -> DataFrame:
-    """Distinct item names linked to the distinct (name, brand) offers."""
-    names = A.specs(spark, d).groupBy("p_name").agg(F.min("spec_id").alias("id"), F.min("code").alias("article"), F.max("quantity").alias("quantity"))
-    s = names.selectExpr("id", "p_name AS name", "CAST(NULL AS STRING) AS full_name", "'steel' AS characteristics", "article", "CAST(NULL AS STRING) AS product_code", "CAST(NULL AS STRING) AS equipment_code", "'pcs' AS unit", "quantity")
-    o = A.specs(spark, d).groupBy("p_name", "code").agg(F.min("spec_id").alias("id"), F.min("quantity").alias("quantity")).selectExpr("'invoice' AS source", "id", "p_name AS name", "code AS article", "'pcs' AS unit", "quantity", "id % 7 AS supplier_id")
-    return match(s, o)
