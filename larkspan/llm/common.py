@@ -1,12 +1,10 @@
-"""Session helpers of this subpackage: the shared folder and written tables."""
+"""Session helpers of this subpackage."""
 
 from __future__ import annotations
 
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Iterator
-from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -15,9 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder, as in tests on one machine.
-LOCAL_CHECKPOINTS = "/tmp/checkpoints"
-
+from larkspan.sources.shared import discard, shared_folder, written  # noqa: F401
 
 _SHIPPED: set[str] = set()
 
@@ -36,54 +32,6 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else the context's, else one of our own on a local master only."""
-    context = spark.sparkContext._jsc.sc()
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if context.getCheckpointDir().isEmpty():
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(LOCAL_CHECKPOINTS)
-    return context.getCheckpointDir().get().rstrip("/")
-
-
-#: While a table is written: shuffle files go when it is done, and Python gets small batches, so that long texts do not add up.
-_WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
-
-
-@contextmanager
-def _settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
-    before = {k: spark.conf.get(k, None) for k in values}
-    try:
-        for k, v in values.items():
-            spark.conf.set(k, v)
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows of ``df`` written to the shared folder and read again: cuts the lineage and outlives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    with _settings(spark, _WHILE_WRITING):
-        df.write.parquet(path)
-    table_ = spark.read.schema(df.schema).parquet(path)
-    table_.written_to = path
-    return table_
-
-
-def discard(*tables: DataFrame) -> None:
-    """Deletes tables of ``written`` that no result reads any more."""
-    for df in tables:
-        context = df.sparkSession.sparkContext
-        path = context._jvm.org.apache.hadoop.fs.Path(df.written_to)
-        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def unused(df: DataFrame, stem: str) -> str:
     """A column name that ``df`` does not have."""
     taken = {c.lower() for c in df.columns}
