@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
-import zipfile
-from collections.abc import Iterator
-from pathlib import Path
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,23 +11,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspan.sources.shared import discard, shared_folder, written  # noqa: F401
+from larkspan.sources.shared import discard, shared_folder, ship, written  # noqa: F401
 
-_SHIPPED: set[str] = set()
+def lean(run: Callable) -> Callable:
+    """A mapInArrow function after which its Python worker gives the memory back that it no longer needs: workers wait for further tasks, and several wait beside the ones at work."""
 
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+        if trim is not None:
+            trim(0)
 
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors once an application, so that their Python need not have it installed."""
-    app = spark.sparkContext.applicationId
-    if app in _SHIPPED:
-        return
-    package = Path(__file__).resolve().parent.parent
-    archive = Path(tempfile.mkdtemp()) / f"{package.name}.zip"  # the driver serves it from here
-    with zipfile.ZipFile(archive, "w") as z:
-        for f in sorted(package.rglob("*.py")):
-            z.write(f, f.relative_to(package.parent))
-    spark.sparkContext.addPyFile(str(archive))
-    _SHIPPED.add(app)
+    return wrapped
 
 
 def unused(df: DataFrame, stem: str) -> str:
@@ -73,6 +67,6 @@ def summed(rows: DataFrame, run, dtype: str, how: str = "sum") -> dict[int, np.n
         for (block, part), x in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([part], pa.int32()), pa.array([x.tobytes()], pa.binary())], ["block", "part", "vector"])
 
-    first = rows.mapInArrow(run, _SUMS).repartition("block", "part").mapInArrow(add, _SUMS)
-    last = first.withColumn("part", F.lit(0)).repartition("block").mapInArrow(add, _SUMS)
+    first = rows.mapInArrow(lean(run), _SUMS).repartition("block", "part").mapInArrow(lean(add), _SUMS)
+    last = first.withColumn("part", F.lit(0)).repartition("block").mapInArrow(lean(add), _SUMS)
     return {r["block"]: np.frombuffer(bytes(r["vector"]), dtype) for r in last.select("block", "vector").collect()}

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspan.llm import textvec
-from larkspan.llm.common import ship, summed, sums
+from larkspan.llm.common import lean, ship, summed, sums
 
 FEATURES = 1 << 14
 PASSAGE = 48
@@ -323,7 +323,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 columns += [pa.array([x[k] for _, x in found], t) for k, t in ((0, pa.float64()), (1, pa.float64()), (2, pa.int64()))]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "item_id", "lcs_share", "cosine", "word"])
 
-        got = rows.mapInArrow(run, "doc_id long, item_id long, lcs_share double, cosine double, word long")
+        got = rows.mapInArrow(lean(run), "doc_id long, item_id long, lcs_share double, cosine double, word long")
         out = got if out is None else out.unionByName(got)
     return out
 
@@ -342,5 +342,5 @@ def without_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str =
                 clean[[r for r, _ in shared.value(batch, at)]] = False
                 yield batch.filter(pa.array(clean))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(lean(run), docs.schema)
     return docs

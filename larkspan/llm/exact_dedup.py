@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspan.llm.common import ship, unused, written
+from larkspan.llm.common import lean, ship, unused, written
 
 MEMTABLE = 50_000
 FANOUT = 4
@@ -188,8 +188,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     bare = stripped(F.col("text"))
     keyed = written(raw.select("id", digest(bare).alias("digest"), length(F.col("text")).alias("length"), F.sha2(bare, 256).alias("sha")), "keyed")
-    runs = keyed.where("id IS NOT NULL").select("digest", "length", F.col("id").alias("keep"), F.lit(1).cast("long").alias("n")).mapInArrow(_flushes, _RUN)
-    groups = written(runs.repartition("digest").mapInArrow(_compaction, _RUN), "groups")
+    runs = keyed.where("id IS NOT NULL").select("digest", "length", F.col("id").alias("keep"), F.lit(1).cast("long").alias("n")).mapInArrow(lean(_flushes), _RUN)
+    groups = written(runs.repartition("digest").mapInArrow(lean(_compaction), _RUN), "groups")
     entries = groups.selectExpr("digest", "keep", "n", "length AS most")
     hot = F.broadcast(entries.where(F.col("n") * HOT >= max(1, keyed.count())).where("n > 1"))  # at most HOT rows
     marked = keyed.join(hot, "digest", "left")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspan.llm.common import ship
+from larkspan.llm.common import lean, ship
 
 # Elements whose content is no text of the page.
 _RAW = frozenset("script style template svg math textarea object canvas audio video noscript iframe title".split())
@@ -252,4 +252,4 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     ship(pages.sparkSession)
-    return pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")).mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")).mapInArrow(lean(run), "page_id long, url string, text string, n_chars long")

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspan.llm import textvec
-from larkspan.llm.common import ship, summed, sums, unused, written
+from larkspan.llm.common import lean, ship, summed, sums, unused, written
 from larkspan.llm.components import components
 
 #: Fixed number of counters that one partition sends, and that the driver holds.
@@ -89,7 +89,7 @@ def slot_counts(docs: DataFrame, size: int) -> np.ndarray:
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], ["slot", "n"])
 
-    rows = docs.mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()  # SLOTS rows at most
+    rows = docs.mapInArrow(lean(count), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()  # SLOTS rows at most
     total = np.zeros(SLOTS, np.int64)
     for slot, n in rows:
         total[slot] = n
@@ -138,7 +138,7 @@ def profiles(docs: DataFrame, size: int, percent: int, ranks: np.ndarray) -> Dat
             types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], ["id", "n", "s1", "s2", "prefix", "odd", "wide", "minima"])
 
-    return docs.mapInArrow(run, "id long, n long, s1 long, s2 long, prefix binary, odd binary, wide binary, minima binary")
+    return docs.mapInArrow(lean(run), "id long, n long, s1 long, s2 long, prefix binary, odd binary, wide binary, minima binary")
 
 
 class _Forest:
@@ -256,11 +256,11 @@ def _pair_rows(*columns: np.ndarray) -> pa.RecordBatch:
 
 def likely_pairs(stands: DataFrame, percent: int) -> DataFrame:
     """(a, sa, na, b, sb, nb): pairs of classes that are most likely copies, a few for each class at most."""
-    local = written(stands.select("id", "s", "n", "odd", "minima").mapInArrow(_local_leaders(percent), _LEAD), "leaders")
+    local = written(stands.select("id", "s", "n", "odd", "minima").mapInArrow(lean(_local_leaders(percent)), _LEAD), "leaders")
     here = local.where("leader IS NOT NULL").selectExpr("id", "s", "n", "leader", "leader_s", "leader_n").selectExpr(
         "least(id, leader) AS a", "if(id < leader, s, leader_s) AS sa", "if(id < leader, n, leader_n) AS na", "greatest(id, leader) AS b", "if(id < leader, leader_s, s) AS sb", "if(id < leader, leader_n, n) AS nb"
     ).where("a <> b")
-    between = local.where("leader IS NULL").select("key", "id", "s", "n", "odd").repartition("key").sortWithinPartitions("key", "n", "id").mapInArrow(_global_leaders(percent), _PAIR)
+    between = local.where("leader IS NULL").select("key", "id", "s", "n", "odd").repartition("key").sortWithinPartitions("key", "n", "id").mapInArrow(lean(_global_leaders(percent)), _PAIR)
     return here.unionByName(between).distinct()
 
 
@@ -457,7 +457,7 @@ def fragments(docs: DataFrame, size: int, of_rank: np.ndarray, maybe: Broadcast)
                         parts.append(_packed(tokens[order[cut[f] : cut[f + 1]]]))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.int64()), pa.array(frags, pa.int32()), pa.array(parts, pa.binary())], ["id", "s", "fragment", "tokens"])
 
-    return docs.mapInArrow(run, "id long, s long, fragment int, tokens binary")
+    return docs.mapInArrow(lean(run), "id long, s long, fragment int, tokens binary")
 
 
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -496,7 +496,7 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, of_rank: np.ndarray,
     asked = pairs.select(*_PAIR_NAMES, F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))).alias("fragment"))
     left = asked.join(parts.withColumnsRenamed({"id": "a", "s": "sa", "tokens": "ta"}), ["a", "sa", "fragment"])
     both = left.join(parts.withColumnsRenamed({"id": "b", "s": "sb", "tokens": "tb"}), ["b", "sb", "fragment"])
-    partial = both.select(*_PAIR_NAMES, "ta", "tb", "fragment").mapInArrow(_overlaps, f"{_PAIR}, k long, fragment int")
+    partial = both.select(*_PAIR_NAMES, "ta", "tb", "fragment").mapInArrow(lean(_overlaps), f"{_PAIR}, k long, fragment int")
     summed_ = partial.groupBy(*_PAIR_NAMES, "fragment").agg(F.max("k").alias("k")).groupBy(*_PAIR_NAMES).agg(F.sum("k").alias("k"))
     return summed_.where(f"100 * k >= {percent} * (na + nb - k)").select("a", "b").distinct()
 
@@ -512,7 +512,7 @@ def narrowed(pairs: DataFrame, stands: DataFrame, percent: int) -> DataFrame:
 
     for c in ("a", "b"):
         pairs = pairs.join(stands.selectExpr(f"id AS {c}", f"s AS s{c}", f"wide AS w{c}"), [c, f"s{c}"])
-    return pairs.select(*_PAIR_NAMES, "wa", "wb").mapInArrow(run, _PAIR).distinct()
+    return pairs.select(*_PAIR_NAMES, "wa", "wb").mapInArrow(lean(run), _PAIR).distinct()
 
 
 def _labelled(stands: DataFrame, links: DataFrame | None) -> DataFrame:
@@ -530,7 +530,7 @@ def bucket_rows(stands: DataFrame) -> DataFrame:
     A bucket of over ``SPLIT`` members is dealt over blocks; every pair of
     blocks is a bucket of its own.
     """
-    rows = stands.select("id", "s", "n", "label", "prefix").mapInArrow(_prefix_rows, "token long, id long, s long, n long, label long")
+    rows = stands.select("id", "s", "n", "label", "prefix").mapInArrow(lean(_prefix_rows), "token long, id long, s long, n long, label long")
     counted = rows.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("rows")).where("low < high")
     tokens = written(counted.selectExpr("token", f"CAST(ceil(rows / {SPLIT}) AS INT) AS blocks"), "tokens")
     mine = rows.drop("label").join(tokens, "token").withColumn("block", F.expr("CAST(pmod(xxhash64(id, s), blocks) AS INT)"))
@@ -571,7 +571,7 @@ def ngram_jaccard_join(docs: DataFrame, size: int = 5, percent: int = 80, id_col
 
     def candidates(labels: DataFrame, rows: DataFrame, sketch: str, last: bool) -> DataFrame:
         full = rows.join(labels.selectExpr("id", "s", f"{sketch} AS odd", "label"), ["id", "s"]).select("bucket", "id", "s", "n", "odd", "label")
-        return full.repartition("bucket").sortWithinPartitions("bucket", "n", "id").mapInArrow(_pairs(percent, last), _CANDIDATE)
+        return full.repartition("bucket").sortWithinPartitions("bucket", "n", "id").mapInArrow(lean(_pairs(percent, last)), _CANDIDATE)
 
     first = written(candidates(named, buckets, "odd", False), "pairs")
     if not first.isEmpty():

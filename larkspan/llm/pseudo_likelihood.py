@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspan.llm import textvec
-from larkspan.llm.common import ship, summed, sums
+from larkspan.llm.common import lean, ship, summed, sums
 
 VOCABULARY = 1 << 16
 CLASSES = 64
@@ -298,6 +298,6 @@ def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 yield pa.RecordBatch.from_arrays([pa.array(buckets), pa.array([chunk] * len(buckets), pa.int64()), pa.array([False] * len(blobs) + [True]), pa.array([*blobs, head], pa.binary())], ["bucket", "chunk", "head", "data"])
                 chunk += 1
 
-    windows = rows.mapInArrow(run, part_of).repartition(1 << bits, "bucket")
+    windows = rows.mapInArrow(lean(run), part_of).repartition(1 << bits, "bucket")
     sums_of = windows.groupBy("bucket").applyInArrow(_scored, part_of)
     return sums_of.groupBy("chunk").applyInArrow(_documents, "doc_id long, n_tokens long, log_likelihood double, mean_log_prob double")

@@ -30,14 +30,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspan.llm import textvec
-from larkspan.llm.common import ship, written
+from larkspan.llm.common import lean, ship, written
 
 SPAN = 50
 GRAM = 16
 #: Segments that one partition holds before it settles and sends them.
-HELD = 400_000
+HELD = 200_000
 #: Bytes of text for each bucket of owners, so that a bucket is held in one task however large the input is.
-BUCKET = 8_000_000
+BUCKET = 4_000_000
 #: Bytes of segments in one suffix array, unless one owner has more.
 ARRAY = 150_000
 
@@ -398,8 +398,22 @@ def _removals(span: int):
     return run
 
 
+#: Rows and bytes of text that are cut and returned together, so that a batch is not held twice over.
+ROWS, BYTES = 256, 1_000_000
+
+
+def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most ``ROWS`` rows and about ``BYTES`` of text."""
+    _, offsets = textvec.utf8(batch.column(1))
+    row = 0
+    while row < batch.num_rows:
+        end = max(row + 1, min(row + ROWS, int(np.searchsorted(offsets, offsets[row] + BYTES, "right")) - 1))
+        yield batch.slice(row, end - row)
+        row = end
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (piece for whole in batches for piece in _pieces(whole)):
         data, offsets = textvec.utf8(batch.column(1))
         found = batch.column(2)
         size, removed, spans, digest, kept_text = [], [], [], [], []
@@ -436,14 +450,14 @@ def suffix_dedup(docs: DataFrame, span: int = SPAN, gram: int = GRAM, id_col: st
     repeated, buckets = (seen[0] or 0) > 1, max(16, -(-(seen[1] or 0) // BUCKET))
     version = F.xxhash64("text") if repeated else F.lit(0).cast("long")
     texts = named.select("id", "text")
-    own = texts.select("id", version.alias("version"), "text").mapInArrow(_own_rows(span, gram, buckets), _OWN)
-    found = written(own.repartition("bucket").sortWithinPartitions("settled", "bucket").mapInArrow(_settled, _FOUND), "spans")
+    own = texts.select("id", version.alias("version"), "text").mapInArrow(lean(_own_rows(span, gram, buckets)), _OWN)
+    found = written(own.repartition("bucket").sortWithinPartitions("settled", "bucket").mapInArrow(lean(_settled), _FOUND), "spans")
     marks = found.where("owners IS NOT NULL").groupBy("id").agg(F.flatten(F.collect_list("owners")).alias("owners"))
-    segments = texts.join(marks, "id").select("id", version.alias("version"), "text", "owners").mapInArrow(_segment_rows(span, gram), _SEGMENT)
-    removals = segments.repartition("owner").sortWithinPartitions("owner").mapInArrow(_removals(span), "id long, version long, start int, end int")
+    segments = texts.join(marks, "id").select("id", version.alias("version"), "text", "owners").mapInArrow(lean(_segment_rows(span, gram)), _SEGMENT)
+    removals = segments.repartition("owner").sortWithinPartitions("owner").mapInArrow(lean(_removals(span)), "id long, version long, start int, end int")
     removals = removals.unionByName(found.where("owners IS NULL").drop("owners"))
     merged = removals.groupBy("id").agg(F.collect_list(F.struct("version", "start", "end")).alias("found"))
     mine = F.filter("found", lambda x: x["version"] == version)
     rest = rows.where("id IS NULL").select("id", "text", F.lit(None).cast("array<struct<version:bigint,start:int,end:int>>").alias("found"))
     joined = texts.join(merged, "id", "left").select("id", "text", mine.alias("found")).unionByName(rest)
-    return joined.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return joined.mapInArrow(lean(_cut), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

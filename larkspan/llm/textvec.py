@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 500_000
 
 _U = np.uint64
 _IS_SPACE = np.zeros(256, bool)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larkspan.llm.bpe import Encoder, read_vocabulary
-from larkspan.llm.common import shared_folder, ship
+from larkspan.llm.common import lean, shared_folder, ship
 
 MAGIC = b"TKB1"
 BLOCK_IDS = 1 << 18
@@ -113,7 +113,7 @@ def tokenised(docs: DataFrame, vocabulary_path: str, end_id: int, id_col: str, t
                 ids = [np.append(x, np.uint32(end_id)).astype(width) for x in encoder.encode_all(part.column(1).to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())], ["doc_id", "n", "ids"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n long, ids binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(run), "doc_id long, n long, ids binary")
 
 
 def _ids(n: int, raw: bytes) -> np.ndarray:
@@ -137,7 +137,7 @@ def frequency_ranks(tokens: DataFrame) -> np.ndarray:
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], ["id", "n"])
 
-    rows = tokens.select("n", "ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    rows = tokens.select("n", "ids").mapInArrow(lean(count), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     order = sorted(rows, key=lambda r: (-r["n"], r["id"]))
     ranks = np.full(max([0, *(r["id"] for r in rows)]) + 1, UNUSED)
     for rank, row in enumerate(order):
@@ -175,7 +175,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary_path: str, end_id:
         if keys:
             yield flush()
 
-    tokens.repartitionByRange("doc_id").sortWithinPartitions(F.asc_nulls_first("doc_id"), "ids").mapInArrow(blocks, _BLOCKS).write.parquet(f"{path}/blocks")
+    tokens.repartitionByRange("doc_id").sortWithinPartitions(F.asc_nulls_first("doc_id"), "ids").mapInArrow(lean(blocks), _BLOCKS).write.parquet(f"{path}/blocks")
 
 
 _BLOCKS = "shard int, block long, n long, doc_ids array<long>, payload binary"
@@ -204,7 +204,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                 raw = [ids[e - k : e].tobytes() for e, k in zip(ends.tolist(), lengths.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(start + ends - lengths), pa.array(lengths.astype(np.int64)), pa.array(raw, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
 
-    return table.join(starts, ["shard", "block"]).select("doc_ids", "payload", "start").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    return table.join(starts, ["shard", "block"]).select("doc_ids", "payload", "start").mapInArrow(lean(run), "doc_id long, start long, n_tokens long, ids binary")
 
 
 def token_file_digest(docs: DataFrame, vocabulary_path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

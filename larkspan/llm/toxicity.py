@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspan.llm.common import ship
+from larkspan.llm.common import lean, ship
 
 #: Labelled rows used for fitting at most; the lexicon and the exception phrases are as large as these rows make them.
 SAMPLE = 40_000
@@ -152,12 +152,12 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 size[y > 0] += 1
                 seen[y > 0].update(terms(set(fold(text).split())))
-            if len(seen[0]) + len(seen[1]) > 500_000:
+            if len(seen[0]) + len(seen[1]) > 150_000:
                 yield out()
                 seen, size = (Counter(), Counter()), [0, 0]
         yield out()
 
-    counts = rows.mapInArrow(count, "term string, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    counts = rows.mapInArrow(lean(count), "term string, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     good_enough = (F.col("term") == "") | ((F.col("bad") >= LEAST_TOXIC) & (F.col("bad") > F.col("good")))
     kept = counts.where(good_enough).collect()  # terms of LEAST_TOXIC of SAMPLE rows or more
     size = next(((r["bad"], r["good"]) for r in kept if not r["term"]), (0, 0))
@@ -179,7 +179,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         names = [p for p in seen[0]]  # a phrase no clean text holds is no exception
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([seen[1][t] for t in names], pa.int64()), pa.array([seen[0][t] for t in names], pa.int64())], ["phrase", "bad", "good"])
 
-    spared = rows.mapInArrow(phrases, "phrase string, bad long, good long").groupBy("phrase").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).where(F.expr(f"good >= {LEAST_CLEAN} AND bad * 4 <= good")).orderBy("phrase").collect()  # phrases of LEAST_CLEAN of SAMPLE rows or more
+    spared = rows.mapInArrow(lean(phrases), "phrase string, bad long, good long").groupBy("phrase").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).where(F.expr(f"good >= {LEAST_CLEAN} AND bad * 4 <= good")).orderBy("phrase").collect()  # phrases of LEAST_CLEAN of SAMPLE rows or more
     exceptions = (*EXCEPTIONS, *(r["phrase"] for r in spared))
     model = docs.sparkSession.sparkContext.broadcast((weights, exceptions))
 
@@ -189,7 +189,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             x = [lexicon.features(t) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in x], pa.float64()), pa.array([b for _, b in x], pa.float64()), batch.column(1)], ["total", "ratio", "y"])
 
-    at = rows.mapInArrow(measured, "total double, ratio double, y int").groupBy(F.round("total", 2).alias("total"), F.round("ratio", 2).alias("ratio"), "y").count().orderBy("total", "ratio", "y").collect()  # of SAMPLE rows at most
+    at = rows.mapInArrow(lean(measured), "total double, ratio double, y int").groupBy(F.round("total", 2).alias("total"), F.round("ratio", 2).alias("ratio"), "y").count().orderBy("total", "ratio", "y").collect()  # of SAMPLE rows at most
     x = np.array([[1.0, r["total"], r["ratio"]] for r in at]).reshape(-1, 3)
     return weights, exceptions, logistic(x, np.array([r["y"] > 0 for r in at], float), np.array([r["count"] for r in at], float))
 
@@ -224,7 +224,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(s), pa.array((s >= REJECT).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("held_out", F.coalesce(held_out("doc_id"), F.lit(False)))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(lean(run), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -237,4 +237,4 @@ def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
         for batch in batches:
             yield batch.filter(pa.array(score(batch.column(at)) < REJECT))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
