@@ -138,16 +138,17 @@ def hierarchy_reindexed(spark: SparkSession, d: str) -> DataFrame:
 
 # --- comparisons --------------------------------------------------------------------
 
-_REF = "SELECT l_orderkey AS doc, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) - 1 AS idx, l_partkey, concat('item ', CAST(l_partkey AS STRING), ' grade ', CAST(l_linenumber AS STRING)) AS name, CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE CAST(l_partkey AS STRING) END AS article, l_extendedprice AS price, l_quantity AS quantity, CASE WHEN l_linenumber % 2 = 0 THEN 'шт' ELSE 'м' END AS unit FROM lineitem"
-_RESULT = "SELECT doc, row_number() OVER (PARTITION BY doc ORDER BY idx) - 1 AS idx, CASE WHEN idx % 4 = 1 THEN concat(name, ' x') ELSE name END AS name, article, CASE WHEN idx % 3 = 2 THEN price * 1.2 ELSE price END AS price, quantity, unit FROM refs WHERE (doc + idx) % 5 <> 4"
+_REF = "SELECT l_orderkey AS doc, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) - 1 AS idx, l_partkey, concat('item ', CAST(l_partkey AS STRING), ' grade ', CAST(l_linenumber AS STRING)) AS name, CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE CAST(l_partkey AS STRING) END AS article, l_extendedprice AS price, l_quantity AS quantity, CASE WHEN l_linenumber % 2 = 0 THEN 'шт' ELSE 'м' END AS unit, lead(concat('item ', CAST(l_partkey AS STRING), ' grade ', CAST(l_linenumber AS STRING))) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) AS next_name FROM lineitem"
+_RESULT = "SELECT doc, row_number() OVER (PARTITION BY doc ORDER BY idx) - 1 AS idx, CASE WHEN idx % 4 = 1 THEN concat(name, ' x') WHEN idx % 4 = 2 AND next_name IS NOT NULL THEN concat(name, ' ', next_name) ELSE name END AS name, article, CASE WHEN idx % 3 = 2 THEN price * 1.2 ELSE price END AS price, quantity, unit FROM refs WHERE (doc + idx) % 5 <> 4"
 _SIDES = f"WITH refs AS ({_REF}), results AS ({_RESULT})"
 
 
 def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
     ref = A.read(spark, d, "lineitem").withColumn("idx", F.row_number().over(order).cast("long") - 1).selectExpr("l_orderkey AS doc", "idx", "concat('item ', CAST(l_partkey AS STRING), ' grade ', CAST(l_linenumber AS STRING)) AS name", "CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE CAST(l_partkey AS STRING) END AS article", "l_extendedprice AS price", "l_quantity AS quantity", "CASE WHEN l_linenumber % 2 = 0 THEN 'шт' ELSE 'м' END AS unit")
+    ref = ref.withColumn("next_name", F.lead("name").over(Window.partitionBy("doc").orderBy("idx")))
     result = ref.where("(doc + idx) % 5 <> 4").withColumn("at", F.row_number().over(Window.partitionBy("doc").orderBy("idx")).cast("long") - 1)
-    return ref, result.selectExpr("doc", "at AS idx", "CASE WHEN idx % 4 = 1 THEN concat(name, ' x') ELSE name END AS name", "article", "CASE WHEN idx % 3 = 2 THEN price * 1.2 ELSE price END AS price", "quantity", "unit")
+    return ref, result.selectExpr("doc", "at AS idx", "CASE WHEN idx % 4 = 1 THEN concat(name, ' x') WHEN idx % 4 = 2 AND next_name IS NOT NULL THEN concat(name, ' ', next_name) ELSE name END AS name", "article", "CASE WHEN idx % 3 = 2 THEN price * 1.2 ELSE price END AS price", "quantity", "unit")
 
 
 _PAIRED = _SIDES + """, ur AS (SELECT doc, article, min(idx) AS idx FROM refs WHERE article <> '' GROUP BY doc, article HAVING count(*) = 1), us AS (SELECT doc, article, min(idx) AS idx FROM results WHERE article <> '' GROUP BY doc, article HAVING count(*) = 1),
@@ -206,9 +207,9 @@ _DOUBLED = "SELECT doc, idx, name, article, price, quantity FROM refs WHERE doc
  proof AS (SELECT doc FROM p GROUP BY doc HAVING count(DISTINCT i) >= 3 AND count(DISTINCT j) >= 3), q AS (SELECT * FROM p WHERE doc IN (SELECT doc FROM proof))
  SELECT doc, idx, CASE WHEN (doc, idx) IN (SELECT (doc, i) FROM q) THEN price * 1.2 ELSE price END AS price FROM x WHERE (doc, idx) NOT IN (SELECT (doc, j) FROM q) AND article IS NOT NULL""")
 def vat_duplicate_selfjoin(spark: SparkSession, d: str) -> DataFrame:
-    """Documents that list their goods twice, without and with tax, by article; rows without an article are left to the similarity of names and not shown here."""
+    """Documents that list their goods twice, without and with tax, by article alone: the rows have no names here."""
     ref, _ = _sides(spark, d)
-    x = ref.where("doc % 3 = 0").select("doc", "idx", "name", "article", "price", "quantity")
+    x = ref.where("doc % 3 = 0").selectExpr("doc", "idx", "CAST(NULL AS STRING) AS name", "article", "price", "quantity")
     x = x.unionByName(x.where("idx % 4 <> 3").selectExpr("doc", "idx + 100 AS idx", "name", "article", "price * 1.2D AS price", "quantity"))
     return C.without_vat_duplicates(x.where("article IS NOT NULL")).select("doc", "idx", "price")
 
@@ -231,7 +232,7 @@ def feedback_rows(spark: SparkSession, d: str) -> DataFrame:
     return t.select("event_id", label.alias("label"), (F.col("event_type").like("p%") | (F.col("event_type") == "click")).alias("tagged"), F.datediff(F.lit("2030-01-01").cast("date"), F.to_date("ts")).alias("age"), ((F.to_date("ts") >= F.lit("2024-01-15").cast("date")) & (F.col("value") >= 20)).alias("recent"))
 
 
-@query("", "SELECT event_id, sha256(coalesce(props, '')) AS content, sha256(coalesce(props, '') || '|' || event_type) AS cache_key, CAST(epoch(ts) AS BIGINT) + 2592000 AS expires FROM events")
+@query("", "SELECT event_id, sha256(coalesce(props, '')) AS content, sha256(coalesce(props, '') || '|' || event_type) AS cache_key, CAST(floor(epoch(ts)) AS BIGINT) + 2592000 AS expires FROM events")
 def cache_keys(spark: SparkSession, d: str) -> DataFrame:
     t = A.read(spark, d, "events")
     props = F.coalesce("props", F.lit(""))

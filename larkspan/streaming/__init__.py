@@ -1,0 +1 @@
+"""Streams of operator events: windowed counts, latest states and running readiness."""
