@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from larkspan.functions.text import SPACE, any_of, collapsed, let, missing, replaced
 
@@ -178,11 +180,18 @@ def canonical_unit(unit: Column, paired: Column | None = None) -> Column:
     return let(unit_key(unit), of)
 
 
-def repaired_encoding(text: Column) -> Column:
-    """UTF-8 text that was read as windows-1251, read again where that gives Cyrillic letters."""
-    again = F.try_validate_utf8(F.encode(text, "windows-1251"))
-    survives = F.decode(F.encode(text, "windows-1251"), "windows-1251") == text
-    return F.when(survives & again.isNotNull() & (again.cast("string") != text) & again.cast("string").rlike("[\\x{0400}-\\x{04FF}]"), again.cast("string")).otherwise(text)
+def _read_again(text: str | None) -> str | None:
+    try:
+        again = text.encode("cp1251").decode()
+    except (AttributeError, UnicodeError):
+        return text
+    return again if any("\u0400" <= c <= "\u04ff" for c in again) else text
+
+
+@F.pandas_udf(StringType())
+def repaired_encoding(texts: pd.Series) -> pd.Series:
+    """UTF-8 text that was read as windows-1251 (which Spark's own functions do not write), read again where that gives Cyrillic letters."""
+    return texts.map(_read_again)
 
 
 def swapped_article(article: Column, name: Column) -> Column:

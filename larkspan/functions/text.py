@@ -132,6 +132,7 @@ def normalized(text: Column, section: Column | None = None, constructions: Mappi
     """A name for comparison: standards, units, sizes, synonyms, punctuation and stop words brought to one form, alias tokens added.
 
     ``constructions``: abbreviations and what they stand for; the longest one is replaced first.
+    A null name gives the empty text.
     """
     s = folded(engineering(unit_words(without_standards(text))), sizes)
     s = folded(s, dict(sorted((constructions or {}).items(), key=lambda x: -len(x[0]))))

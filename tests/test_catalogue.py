@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from larkspan.functions import money as M
 from larkspan.functions import text as T
 from larkspan.operators.similarity import dice_join
-from larkspan.plans.catalogue import QUERIES, SQL
+from larkspan.plans import QUERIES, SQL
 
 FOLDER = "/root/testdata/sf0.001"
-TABLES = "region nation customer supplier part orders lineitem events documents conversations".split()
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
 def cell(v):
