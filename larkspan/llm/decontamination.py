@@ -329,7 +329,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def without_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, that give no benchmark item away; nothing is shuffled."""
+    """The rows of ``docs``, all columns, that give no benchmark item away; nothing is shuffled.
+
+    Null and wordless texts give nothing away and stay; repeated rows and rows
+    with a null id are judged each by their text; an empty table, or an empty
+    benchmark, changes nothing.  Columns of any name are allowed.
+    """
     ship(docs.sparkSession)
     basis, centre = _latent_space(docs.select(F.col(text_col).alias("text")))
     at = docs.columns.index(text_col)

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspan.llm import textvec
-from larkspan.llm.common import lean, ship, summed, sums, unused, written
+from larkspan.llm.common import discard, lean, ship, summed, sums, unused, written
 from larkspan.llm.components import components
 
 #: Fixed number of counters that one partition sends, and that the driver holds.
@@ -254,9 +254,9 @@ def _pair_rows(*columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in put], _PAIR_NAMES).filter(apart)
 
 
-def likely_pairs(stands: DataFrame, percent: int) -> DataFrame:
+def likely_pairs(stands: DataFrame, percent: int, keep: Callable = written) -> DataFrame:
     """(a, sa, na, b, sb, nb): pairs of classes that are most likely copies, a few for each class at most."""
-    local = written(stands.select("id", "s", "n", "odd", "minima").mapInArrow(lean(_local_leaders(percent)), _LEAD), "leaders")
+    local = keep(stands.select("id", "s", "n", "odd", "minima").mapInArrow(lean(_local_leaders(percent)), _LEAD), "leaders")
     here = local.where("leader IS NOT NULL").selectExpr("id", "s", "n", "leader", "leader_s", "leader_n").selectExpr(
         "least(id, leader) AS a", "if(id < leader, s, leader_s) AS sa", "if(id < leader, n, leader_n) AS na", "greatest(id, leader) AS b", "if(id < leader, leader_s, s) AS sb", "if(id < leader, leader_n, n) AS nb"
     ).where("a <> b")
@@ -486,13 +486,14 @@ def _place(ids: pa.Array) -> np.ndarray:
     return (textvec.mix64(ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(_U)) % _U(BITMAP)).astype(np.int64)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, size: int, of_rank: np.ndarray, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, size: int, of_rank: np.ndarray, percent: int, keep: Callable = written) -> DataFrame:
     """The pairs (a, sa, na, b, sb, nb) that link, as (a, b): overlaps counted by fragment, then summed.
 
     A text that several rows repeat under one id gives its fragments several
     times over; one row of each is taken.
     """
-    parts = fragments(docs, size, of_rank, _bitmap(pairs.select(F.explode(F.array("a", "b")).alias("id"))))
+    # Both ends read the fragments from one table: they are cut once, and no task holds a second Python worker for them.
+    parts = keep(fragments(docs, size, of_rank, _bitmap(pairs.select(F.explode(F.array("a", "b")).alias("id")))), "fragments")
     asked = pairs.select(*_PAIR_NAMES, F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))).alias("fragment"))
     left = asked.join(parts.withColumnsRenamed({"id": "a", "s": "sa", "tokens": "ta"}), ["a", "sa", "fragment"])
     both = left.join(parts.withColumnsRenamed({"id": "b", "s": "sb", "tokens": "tb"}), ["b", "sb", "fragment"])
@@ -522,7 +523,7 @@ def _labelled(stands: DataFrame, links: DataFrame | None) -> DataFrame:
     return stands.join(components(links).selectExpr("node AS id", "root AS label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
 
 
-def bucket_rows(stands: DataFrame) -> DataFrame:
+def bucket_rows(stands: DataFrame, keep: Callable = written) -> DataFrame:
     """(bucket, id, s, n) of the prefix shingles under which classes of different labels stand.
 
     The shingles are counted and their labels compared map-side, so one that
@@ -532,10 +533,10 @@ def bucket_rows(stands: DataFrame) -> DataFrame:
     """
     rows = stands.select("id", "s", "n", "label", "prefix").mapInArrow(lean(_prefix_rows), "token long, id long, s long, n long, label long")
     counted = rows.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("rows")).where("low < high")
-    tokens = written(counted.selectExpr("token", f"CAST(ceil(rows / {SPLIT}) AS INT) AS blocks"), "tokens")
+    tokens = keep(counted.selectExpr("token", f"CAST(ceil(rows / {SPLIT}) AS INT) AS blocks"), "tokens")
     mine = rows.drop("label").join(tokens, "token").withColumn("block", F.expr("CAST(pmod(xxhash64(id, s), blocks) AS INT)"))
     cells = F.expr("explode(transform(sequence(0, blocks - 1), x -> xxhash64(token, least(x, block), greatest(x, block))))")
-    return written(mine.select(cells.alias("bucket"), "id", "s", "n"), "buckets")
+    return keep(mine.select(cells.alias("bucket"), "id", "s", "n"), "buckets")
 
 
 def ngram_jaccard_join(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -559,29 +560,41 @@ def ngram_jaccard_join(docs: DataFrame, size: int = 5, percent: int = 80, id_col
     profile = written(profiles(docs, size, percent, ranks), "profiles")
     stands = profile.where("n > 0 AND id IS NOT NULL").groupBy("n", "s1", "s2").agg(F.min(F.struct("id", "prefix", "odd", "wide", "minima")).alias("least"))
     stands = written(stands.select("least.*", "n", F.col("s1").alias("s"), "s2"), "classes")
-    # A repeated id may stand for several sets: they meet in one node.
+    spent: list[DataFrame] = []
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        """A table that goes when the links are known."""
+        spent.append(written(df, name))
+        return spent[-1]
 
     def linked(pairs: DataFrame, more: DataFrame | None) -> DataFrame:
-        found = verified(pairs, docs, size, of_rank, percent)
-        return written(found if more is None else more.unionByName(found), "links")
+        found = verified(pairs, docs, size, of_rank, percent, keep)
+        return keep(found if more is None else more.unionByName(found), "links")
 
-    links = linked(written(likely_pairs(stands, percent), "pairs"), None)
-    named = written(_labelled(stands, links), "labelled")
-    buckets = bucket_rows(named)
+    links = linked(keep(likely_pairs(stands, percent, keep), "pairs"), None)
+    named = keep(_labelled(stands, links), "labelled")
+    buckets = bucket_rows(named, keep)
 
     def candidates(labels: DataFrame, rows: DataFrame, sketch: str, last: bool) -> DataFrame:
         full = rows.join(labels.selectExpr("id", "s", f"{sketch} AS odd", "label"), ["id", "s"]).select("bucket", "id", "s", "n", "odd", "label")
         return full.repartition("bucket").sortWithinPartitions("bucket", "n", "id").mapInArrow(lean(_pairs(percent, last)), _CANDIDATE)
 
-    first = written(candidates(named, buckets, "odd", False), "pairs")
+    first = keep(candidates(named, buckets, "odd", False), "pairs")
     if not first.isEmpty():
         dense = first.where("dense <> 0").select(F.col("dense").alias("bucket")).distinct()
-        links = linked(written(narrowed(_paired(first), stands, percent), "pairs"), links)
+        links = linked(keep(narrowed(_paired(first), stands, percent), "pairs"), links)
         rest = buckets.join(dense, "bucket", "left_semi")
         if not dense.isEmpty():
             more = candidates(_labelled(stands, links), rest, "wide", True)
-            links = linked(written(_paired(more), "pairs"), links)
-    rooted = _labelled(stands, links).selectExpr("n", "s AS s1", "s2", "label AS root")
+            links = linked(keep(_paired(more), "pairs"), links)
+    # An id that is repeated with several sets is one document: it links the classes that these sets are in.
+    several = profile.where("n > 0 AND id IS NOT NULL").groupBy("id").agg(F.min("s1").alias("low"), F.max("s1").alias("high")).where("low < high").select("id")
+    if not several.isEmpty():
+        own = profile.join(several, "id").select("id", "n", "s1", "s2").join(stands.selectExpr("id AS stands", "n", "s AS s1", "s2"), ["n", "s1", "s2"])
+        links = keep(links.unionByName(own.where("id <> stands").selectExpr("least(id, stands) AS a", "greatest(id, stands) AS b").distinct()), "links")
+    labelled = _labelled(stands, links)
+    discard(*spent)
+    rooted = labelled.selectExpr("n", "s AS s1", "s2", "label AS root")
     return profile.join(rooted, ["n", "s1", "s2"], "left").selectExpr("id AS doc_id", "n AS n_shingles", "CASE WHEN id IS NULL THEN NULL ELSE coalesce(root, id) END AS component_id")
 
 

@@ -228,7 +228,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, whose score is under ``REJECT``; nothing is shuffled."""
+    """The rows of ``docs``, all columns, whose score is under ``REJECT``; nothing is shuffled.
+
+    A null or empty text has the score of such texts (no hits), rows with a null
+    id and repeated rows are judged each by their text; an empty table gives an
+    empty one; without labels every row stays.  Columns of any name are allowed.
+    """
     model = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, id_col, text_col))
     at = docs.columns.index(text_col)
 
