@@ -132,7 +132,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """(weights, exception phrases, logistic coefficients) from the labelled rows that are not held out.
 
     Labels without an id or a verdict are left out; a document labelled more
-    than once is toxic if any label says so.  Without labels the lexicon is empty.
+    than once is toxic if any label says so.  Without labels the lexicon is empty
+    and every text scores low.
     """
     ship(docs.sparkSession)
     chosen = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("y")).where("id IS NOT NULL AND y IS NOT NULL").groupBy("id").agg(F.max("y").alias("y")).where(~held_out("id"))
@@ -197,6 +198,9 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Ridge-penalised logistic coefficients by Newton's method; the intercept is free of the penalty."""
     b = np.zeros(x.shape[1])
+    if not n.sum():  # nothing is known to be toxic: every text scores low
+        b[0] = -4.0
+        return b
     penalty = np.diag([1e-3, *[0.1] * (x.shape[1] - 1)])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
