@@ -36,7 +36,7 @@ ANSWER = 3
 #: Benchmark items searched in one pass; more are searched in blocks.
 ITEMS = 2000
 #: Bytes of text projected at a time.
-PIECE = 500_000
+PIECE = 200_000
 
 _BLOCK = 256
 #: Items whose words are counted side by side.
