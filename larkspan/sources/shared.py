@@ -33,7 +33,7 @@ _WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "tr
 
 
 @contextmanager
-def _settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
     before = {k: spark.conf.get(k, None) for k in values}
     try:
         for k, v in values.items():
@@ -48,7 +48,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """The rows of ``df`` written to the shared folder and read again: cuts the lineage and outlives lost executors."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    with _settings(spark, _WHILE_WRITING):
+    with settings(spark, _WHILE_WRITING):
         df.write.parquet(path)
     table_ = spark.read.schema(df.schema).parquet(path)
     table_.written_to = path

@@ -37,22 +37,22 @@ def latest_states(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id").agg(last).select("user_id", "x.*")
 
 
-def finished(stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """What the stream has come to when everything that is there now has been read: a table in the shared folder.
+def finished(stream: DataFrame, mode: str = "complete", folder: str | None = None) -> DataFrame:
+    """What the stream has come to when everything that is there now has been read: a table in ``folder``, by default a new shared one.
 
-    Each batch is written under its own number, so a batch that runs again
-    after a failure replaces itself; the last one is read.
+    Started again with the folder it goes on from its checkpoint.  Each batch is
+    written under its own number, so a batch that runs again after a failure
+    replaces itself; the newest one there is read.
     """
     spark = stream.sparkSession
-    home = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    seen: list[int] = []
+    home = folder or f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    spark.createDataFrame([], stream.schema).write.mode("overwrite").parquet(f"{home}/rows/batch=-1")
 
     def put(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{home}/batch-{number}")
-        seen.append(number)
+        batch.write.mode("overwrite").parquet(f"{home}/rows/batch={number}")
 
     query = stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{home}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    if not seen:
-        return spark.createDataFrame([], stream.schema)
-    return spark.read.schema(stream.schema).parquet(f"{home}/batch-{max(seen)}")
+    rows = spark.read.parquet(f"{home}/rows")
+    newest = rows.agg(F.max("batch")).first()[0]
+    return rows.where(F.col("batch") == (-1 if newest is None else newest)).drop("batch")
