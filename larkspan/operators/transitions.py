@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkspan.operators.versions import dense_ids
+
 RULE_KEY = ("spec_pattern", "offer_pattern", "supplier_id")
 
 
@@ -74,7 +76,7 @@ def manual_match(links: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFra
     """(links, warnings) after an operator has linked (spec_id, offer_id, supplier_id) of invoices by hand.
 
     A pair that is linked already is confirmed, any other comes in with
-    confidence 1 and an id behind all others, from a hash of spec and offer.  Warnings name
+    confidence 1 and an id behind all others, numbered by spec and offer.  Warnings name
     (spec_id, offer_id, other_spec_id) where the offer of a new pair is confirmed
     for another spec.
     """
@@ -83,8 +85,7 @@ def manual_match(links: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFra
     new = pairs.select("spec_id", "offer_id", "supplier_id").dropDuplicates(["spec_id", "offer_id"]).join(invoice, ["spec_id", "offer_id"], "left_anti")
     taken = invoice.where("is_confirmed = 1").select("offer_id", F.col("spec_id").alias("other_spec_id")).distinct()
     warnings = new.join(taken, "offer_id").where("other_spec_id <> spec_id").select("spec_id", "offer_id", "other_spec_id")
-    last = links.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last"))
-    numbered = new.crossJoin(F.broadcast(last)).withColumn("id", F.col("last") + F.xxhash64("spec_id", "offer_id").bitwiseAND(F.lit((1 << 40) - 1)) + 1)  # one row of one number
+    numbered = dense_ids(new, "spec_id", "offer_id", after=links.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0])
     came = numbered.withColumns({"source": F.lit("invoice"), "confidence": F.lit(1.0), "match_type": F.lit("manual"), "is_confirmed": F.lit(1), "is_selected": F.lit(1), "is_analog": F.lit(0)})
     rest = confirm(links, known.select("id"))
     rest = rest.join(came.select("spec_id").distinct().withColumn("new_one", F.lit(True)), "spec_id", "left").withColumn("is_selected", F.when(F.col("new_one"), 0).otherwise(F.col("is_selected")).cast("int")).select(*links.columns)

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspan.operators import transitions as M
+from larkspan.operators import versions as V
 from larkspan.plans.registry import query
 from larkspan.sources import adapters as A
+from larkspan.sources.shared import written
 
 _ID = "spec_id * 1000000 + supplier_id"
 _LINKS = f""", l0 AS (SELECT {_ID} AS id, spec_id, min(source) AS source, supplier_id * 10 + spec_id % 10 AS offer_id, supplier_id, max(score) AS confidence, max(confirmed) AS confirmed, max(analog) AS is_analog FROM matched GROUP BY spec_id, supplier_id),
@@ -168,3 +170,44 @@ def link_integrity(spark: SparkSession, d: str) -> DataFrame:
     """Links, confirmed ones, and those whose spec would be gone if the specs ending in 3 were."""
     kept = A.specs(spark, d).where("spec_id % 10 <> 3").select("spec_id").withColumn("kept", F.lit(1))
     return links(spark, d).join(kept, "spec_id", "left").agg(F.count("*").alias("links"), F.count(F.when(F.col("is_confirmed") == 1, 1)).alias("confirmed"), F.count(F.when(F.col("kept").isNull(), 1)).alias("orphans"))
+
+
+# --- versions ---------------------------------------------------------------------------
+
+_ITEMS = """ AS (SELECT CAST(l_orderkey * 1000 + n AS BIGINT) AS id, l_orderkey AS owner, CAST(n AS INT) AS position, spec_id, quantity FROM (SELECT l_orderkey, l_partkey AS spec_id, l_quantity AS quantity, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS n FROM {0}) WHERE n < 1000)"""
+#: Parsed anew: without the first line, quantities a half more.
+_ANEW = "SELECT owner, position, spec_id, quantity * 1.5 AS quantity FROM {0} WHERE owner % 5 = 0 AND position > 1"
+_VERSIONED = "WITH now" + _ITEMS.format("lineitem")
+
+
+def _versioned(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Items, snapshots, base and new rows: every fifth invoice is parsed anew, every third of these was changed meanwhile."""
+    items = spark.sql("WITH now" + _ITEMS.format("{lines}") + " SELECT * FROM now", lines=A.read(spark, d, "lineitem"))
+    before = items.withColumn("quantity", F.expr("CASE WHEN owner % 15 = 0 THEN quantity + 1 ELSE quantity END"))
+    base = V.digests(before.where("owner % 5 = 0"))
+    new = spark.sql(_ANEW.format("{items}"), items=items)
+    none = spark.createDataFrame([], "owner long, version int, action string, snapshot string")
+    return items, none, base, new
+
+
+@query("", _VERSIONED + f""", anew AS ({_ANEW.format("now")}), came AS (SELECT (SELECT max(id) FROM now) + row_number() OVER (ORDER BY owner, position) AS id, * FROM anew WHERE owner % 15 <> 0)
+ SELECT id, owner, position, spec_id, quantity, owner % 15 = 0 AS conflict FROM now WHERE owner % 5 <> 0 OR owner % 15 = 0 UNION ALL SELECT *, false FROM came""")
+def reparse_guarded(spark: SparkSession, d: str) -> DataFrame:
+    """Items after invoices were parsed anew; those that were changed meanwhile are left alone and marked."""
+    items, snapshots, base, new = _versioned(spark, d)
+    after, _, conflicts = V.replaced(items, snapshots, base, new)
+    return after.join(conflicts.withColumn("conflict", F.lit(True)), "owner", "left").select(*items.columns, F.coalesce("conflict", F.lit(False)).alias("conflict"))
+
+
+@query("", _VERSIONED + f""", anew AS ({_ANEW.format("now")}), came AS (SELECT (SELECT max(id) FROM now) + row_number() OVER (ORDER BY owner, position) AS id, * FROM anew WHERE owner % 15 <> 0),
+ mid AS (SELECT * FROM now WHERE owner % 5 <> 0 OR owner % 15 = 0 UNION ALL SELECT * FROM came), back AS (SELECT * FROM now WHERE owner % 10 = 0 AND owner % 15 <> 0)
+ SELECT id, owner, position, spec_id, quantity, CASE WHEN owner % 5 = 0 AND owner % 15 <> 0 THEN CASE WHEN owner % 10 = 0 AND owner IN (SELECT owner FROM came) THEN 2 ELSE 1 END ELSE 0 END AS versions FROM mid WHERE NOT (owner % 10 = 0 AND owner % 15 <> 0)
+ UNION ALL SELECT (SELECT max(id) FROM mid) + row_number() OVER (ORDER BY owner, id), owner, position, spec_id, quantity, CASE WHEN owner IN (SELECT owner FROM came) THEN 2 ELSE 1 END FROM back""")
+def rollback_version(spark: SparkSession, d: str) -> DataFrame:
+    """The same, after every tenth invoice has gone back to its first version; versions: the snapshots that its owner has."""
+    items, snapshots, base, new = _versioned(spark, d)
+    after, taken, _ = V.replaced(items, snapshots, base, new)
+    after, taken = written(after, "items"), written(taken, "snapshots")
+    back, all_ = V.restored(after, taken, taken.where("owner % 10 = 0").select("owner", "version"))
+    n = all_.groupBy("owner").agg(F.count("*").cast("int").alias("versions"))
+    return back.join(n, "owner", "left").na.fill(0, ["versions"]).select(*items.columns, "versions")
