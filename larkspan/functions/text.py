@@ -92,9 +92,15 @@ def _edged(word: str, pattern: str) -> str:
     return (_IN if ascii_.match(word[0]) else _AFTER) + pattern + (_OUT if ascii_.match(bare[-1]) else _BEFORE)
 
 
+def edged(word: str) -> str:
+    """The pattern that finds a plain word between its edges."""
+    ascii_ = re.compile("[A-Za-z0-9_]")
+    return (_IN if ascii_.match(word[0]) else _AFTER) + re.escape(word) + (_OUT if ascii_.match(word[-1]) else _BEFORE)
+
+
 def folded(text: Column, dictionary: Mapping[str, str]) -> Column:
     """Every word of a dictionary (plain text) replaced by what it stands for, in the dictionary's order."""
-    return replaced(text, [("(?iu)" + _edged(word, re.escape(word)), full.replace("\\", "\\\\").replace("$", "\\$")) for word, full in dictionary.items()])
+    return replaced(text, [("(?iu)" + edged(word), full.replace("\\", "\\\\").replace("$", "\\$")) for word, full in dictionary.items()])
 
 
 def without_standards(text: Column) -> Column:
@@ -131,11 +137,14 @@ def with_aliases(text: Column, section: Column | None = None) -> Column:
 def normalized(text: Column, section: Column | None = None, constructions: Mapping[str, str] | None = None, sizes: Mapping[str, str] = SIZES) -> Column:
     """A name for comparison: standards, units, sizes, synonyms, punctuation and stop words brought to one form, alias tokens added.
 
-    ``constructions``: abbreviations and what they stand for; the longest one is replaced first.
+    ``constructions``: abbreviations and what they stand for, replaced in one pass, the longest where several fit.
     A null name gives the empty text.
     """
     s = folded(engineering(unit_words(without_standards(text))), sizes)
-    s = folded(s, dict(sorted((constructions or {}).items(), key=lambda x: -len(x[0]))))
+    if constructions:
+        from larkspan.functions.synonyms import expanded
+
+        s = expanded(s, constructions)
     s = collapsed(F.regexp_replace(F.lower(s), "[^\\p{L}\\p{N}\\s\\u00a0]", " "))
     return with_aliases(F.array_join(F.filter(F.split(s, " "), lambda w: (w != "") & ~w.isin(*STOP_WORDS)), " "), section)
 

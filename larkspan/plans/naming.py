@@ -10,6 +10,7 @@ from larkspan.functions import numbers as U
 from larkspan.functions import text as T
 from larkspan.operators import match as X
 from larkspan.operators.similarity import dice_join, token_overlap_top
+from larkspan.operators import synonyms as Y
 from larkspan.plans import oracle as O
 from larkspan.plans.registry import query
 from larkspan.sources import adapters as A
@@ -206,6 +207,29 @@ def abbreviation_pairs(spark: SparkSession, d: str) -> DataFrame:
     return short.join(words.where("length(t) >= 5").select("k", F.col("t").alias("long")), "k").where(N.abbreviates(F.col("short"), F.col("long"))).select("short", "long")
 
 
+_ABBREVIATED = "concat(name, CASE spec_id % 5 WHEN 0 THEN ' нг-LS' WHEN 1 THEN ' lsltx' WHEN 2 THEN ' LSX ls' WHEN 3 THEN '' ELSE ' ls-ls' END)"
+
+
+@query("named", f""", a AS (SELECT spec_id, section, {_ABBREVIATED} AS name FROM named), r AS (SELECT spec_id, section, regexp_replace(regexp_replace({O.engineering(O.without_standards('name'))}, '\\blsltx\\b', 'низкое дымовыделение', 'gi'), '\\bls\\b', 'низкое дымовыделение', 'gi') AS name FROM a),
+ t AS (SELECT *, {O.plain('name')} AS plain FROM r) SELECT spec_id, {O.with_aliases('plain', 'section')} AS normalized FROM t""")
+def normalize_with_dictionary(spark: SparkSession, d: str) -> DataFrame:
+    """Names with abbreviations of the whole first dictionary, which comes as a table; of its words only Latin ones stand by themselves."""
+    names = A.named(spark, d).select("spec_id", "section", F.expr(_ABBREVIATED).alias("name"))
+    return names.select("spec_id", T.normalized(F.col("name"), F.col("section"), Y.as_mapping(Y.seed(spark))).alias("normalized"))
+
+
+_PAIRS = "SELECT spec_id, CASE spec_id % 4 WHEN 0 THEN concat('пп труба ', CAST(p_size AS STRING)) WHEN 1 THEN 'кш муфтовый' WHEN 2 THEN 'труба ls' ELSE name END AS spec, CASE spec_id % 4 WHEN 0 THEN concat('труба полипропилен', CAST(p_size AS STRING)) WHEN 1 THEN concat('краншаровой', CAST(p_size % 9 AS STRING), ' муфтовый') WHEN 2 THEN 'труба дымовыделение' ELSE name END AS offer, CAST(80 + p_size % 20 AS DOUBLE) / 100 AS confidence FROM"
+
+
+@query("specs", f""", p AS ({_PAIRS} specs), s AS (SELECT string_split(lower(spec), ' ') AS x, string_split(lower(offer), ' ') AS y FROM p WHERE confidence >= 0.85), b AS (SELECT x, y FROM s UNION ALL SELECT y, x FROM s),
+ w AS (SELECT DISTINCT unnest(x) AS a, y FROM b), f AS (SELECT a, list_filter(y, lambda e: length(e) >= length(a) + 3 AND substr(e, 1, 1) = substr(a, 1, 1) AND len(list_filter(string_split(substr(a, 2), ''), lambda c: NOT contains(e, c))) = 0) AS fits FROM w WHERE length(a) BETWEEN 2 AND 4 AND NOT list_contains(y, a) AND regexp_full_match(a, '[\\p{{L}}0-9]+') AND NOT regexp_matches(a, '^[0-9]'))
+ SELECT DISTINCT a AS abbreviation, fits[1] AS full_form FROM f WHERE len(fits) > 0""")
+def learned_synonyms(spark: SparkSession, d: str) -> DataFrame:
+    """What confirmed links add to an empty dictionary."""
+    pairs = spark.sql(_PAIRS + " {specs}", specs=A.specs(spark, d)).select(F.lower("spec").alias("spec"), F.lower("offer").alias("offer"), "confidence")
+    return Y.learned(Y.seed(spark).where("false"), pairs).select("abbreviation", "full_form")
+
+
 # --- numbers --------------------------------------------------------------------
 
 _WRITTEN = "CASE spec_id % 6 WHEN 0 THEN concat(CAST(spec_id AS STRING), ',50 руб.') WHEN 1 THEN concat('1 ', CAST(100 + spec_id % 900 AS STRING), ',25') WHEN 2 THEN concat(CAST(spec_id AS STRING), ' шт') WHEN 3 THEN concat('1.', CAST(100 + spec_id % 900 AS STRING), ',75') WHEN 4 THEN 'нет' ELSE CAST(spec_id AS STRING) END"
