@@ -165,9 +165,9 @@ def project_suppliers(spark: SparkSession, d: str) -> DataFrame:
     return A.items(spark, d).select("invoice_id", "supplier_id").join(A.invoices(spark, d).select("invoice_id", "project_id"), "invoice_id").select("project_id", "supplier_id").distinct().join(A.suppliers(spark, d).select("supplier_id", "supplier"), "supplier_id")
 
 
-@query("items matched", " SELECT invoice_id, row_index, spec_id, amount FROM items i WHERE is_delivery = 0 AND NOT EXISTS (SELECT 1 FROM matched m WHERE m.spec_id = i.spec_id AND m.confirmed = 1)")
+@query("items matched", " SELECT invoice_id, row_index, spec_id, amount FROM items i WHERE is_delivery = 0 AND NOT EXISTS (SELECT 1 FROM matched m WHERE m.spec_id = i.spec_id AND m.confirmed = 1 AND m.score >= 94)")
 def unmatched_offers_anti(spark: SparkSession, d: str) -> DataFrame:
-    return A.items(spark, d).where("is_delivery = 0").join(A.matched(spark, d).where("confirmed = 1").select("spec_id"), "spec_id", "left_anti").select("invoice_id", "row_index", "spec_id", "amount")
+    return A.items(spark, d).where("is_delivery = 0").join(A.matched(spark, d).where("confirmed = 1 AND score >= 94").select("spec_id"), "spec_id", "left_anti").select("invoice_id", "row_index", "spec_id", "amount")
 
 
 @query("specs matched", " SELECT spec_id, name FROM specs s WHERE EXISTS (SELECT 1 FROM matched m WHERE m.spec_id = s.spec_id AND confirmed = 1 AND analog = 0)")

@@ -257,15 +257,29 @@ def like_search_top30(spark: SparkSession, d: str) -> DataFrame:
     return A.named(spark, d).where(F.contains(F.lower("name"), F.lit("кран")) | F.contains(F.lower("sheet"), F.lit("кран"))).select("spec_id", "name").orderBy("spec_id").limit(30)
 
 
-@query("named", f""", n AS (SELECT name, min(spec_id) AS spec_id, replace({O.plain('name')}, ' ', '') AS t FROM named GROUP BY name), q AS (SELECT replace('кран шаровой dn 25 pn16', ' ', '') AS u),
- s AS (SELECT spec_id, name, {O.dice('t', 'u')} AS dice FROM n, q), top AS (SELECT * FROM s WHERE dice >= 0.15 ORDER BY dice DESC, spec_id LIMIT 30)
- SELECT spec_id, name, floor(dice * 1000 + 0.5) / 1000 AS dice FROM top""")
-def dice_vs_query_top30(spark: SparkSession, d: str) -> DataFrame:
+def _searched(least: float, top: int) -> str:
+    return f""", n AS (SELECT name, min(spec_id) AS spec_id, replace({O.plain('name')}, ' ', '') AS t FROM named GROUP BY name), q AS (SELECT replace('кран шаровой dn 25 pn16', ' ', '') AS u),
+ s AS (SELECT spec_id, name, {O.dice('t', 'u')} AS dice FROM n, q), top AS (SELECT * FROM s ORDER BY dice DESC, spec_id LIMIT {top})
+ SELECT spec_id, name, floor(dice * 1000 + 0.5) / 1000 AS dice FROM top WHERE dice > {least}"""
+
+
+def _search(spark: SparkSession, d: str, least: float, top: int) -> DataFrame:
+    """The ``top`` names most like what is asked, then those of them above ``least``."""
     names = A.named(spark, d).groupBy("name").agg(F.min("spec_id").alias("spec_id"))
     asked = spark.createDataFrame([(0, "кран шаровой dn 25 pn16")], "id long, name string")
     texts = names.select("spec_id", "name", T.with_aliases(T.normalized(F.col("name"))).alias("text"))
-    near = dice_join(texts.select(F.struct("spec_id", "name").alias("id"), F.col("text").alias("name")), asked, 0.15)
-    return near.orderBy(F.desc("dice"), "a.spec_id").limit(30).select("a.spec_id", "a.name", _round(F.col("dice")).alias("dice"))
+    near = dice_join(texts.select(F.struct("spec_id", "name").alias("id"), F.col("text").alias("name")), asked, least).where(F.col("dice") > least)
+    return near.orderBy(F.desc("dice"), "a.spec_id").limit(top).select("a.spec_id", "a.name", _round(F.col("dice")).alias("dice"))
+
+
+@query("named", _searched(0.1, 30))
+def dice_vs_query_top30(spark: SparkSession, d: str) -> DataFrame:
+    return _search(spark, d, 0.1, 30)
+
+
+@query("named", _searched(0.15, 10))
+def dice_vs_query_top10(spark: SparkSession, d: str) -> DataFrame:
+    return _search(spark, d, 0.15, 10)
 
 
 _TOKENS = r"list_filter(list_distinct(string_split(trim(regexp_replace(regexp_replace(replace(lower(name), 'ё', 'е'), '[^\p{L}\p{N}\s]', ' ', 'g'), '\s+', ' ', 'g')), ' ')), lambda t: length(t) >= 3)"
