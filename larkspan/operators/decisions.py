@@ -61,9 +61,7 @@ def confirmed_as_analog(links: DataFrame, rules: DataFrame, dictionary: DataFram
 def taken_back(links: DataFrame, rules: DataFrame, dictionary: DataFrame, chosen: DataFrame, names: DataFrame) -> Decided:
     """Links are open again and no longer selected; what a confirmed one had taught is used once less, or goes."""
     undone = _told(links, chosen, names).where("is_confirmed = 1")
-    open_ = links.join(chosen.select("id").distinct().withColumn("open", F.lit(True)), "id", "left")
-    flag = lambda c: F.when(F.col("open"), 0).otherwise(F.col(c)).cast("int")
-    return Decided(open_.withColumns({c: flag(c) for c in ("is_confirmed", "is_selected")}).select(*links.columns), T.roll_back_use(rules, undone), dictionary)
+    return Decided(T.unconfirm(links, chosen), T.roll_back_use(rules, undone), dictionary)
 
 
 def rejected(links: DataFrame, rules: DataFrame, dictionary: DataFrame, chosen: DataFrame, names: DataFrame) -> Decided:

@@ -58,8 +58,8 @@ def confirm(links: DataFrame, chosen: DataFrame, analog: bool = False) -> DataFr
 
 
 def unconfirm(links: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Named links are open again; nothing else changes."""
-    return _updated(links, _marked(links, chosen), is_confirmed=_flag(0, "is_confirmed"))
+    """Named links are open again and no longer selected."""
+    return _updated(links, _marked(links, chosen), is_confirmed=_flag(0, "is_confirmed"), is_selected=_flag(0, "is_selected"))
 
 
 def reject(links: DataFrame, chosen: DataFrame) -> DataFrame:

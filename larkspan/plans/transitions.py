@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larkspan.operators import decisions as X
+from larkspan.operators import synonyms as Y
 from larkspan.operators import transitions as M
 from larkspan.operators import versions as V
 from larkspan.plans.registry import query
@@ -71,7 +73,7 @@ def confirm_analog(spark: SparkSession, d: str) -> DataFrame:
     return M.confirm(t, _chosen(t), analog=True)
 
 
-@query("matched", _after("0", "", "is_analog"))
+@query("matched", _after("0", "", "is_analog").replace("is_selected AS is_selected", "CASE WHEN id IN (SELECT id FROM chosen) THEN 0 ELSE is_selected END AS is_selected"))
 def unconfirm(spark: SparkSession, d: str) -> DataFrame:
     t = links(spark, d)
     return M.unconfirm(t, _chosen(t))
@@ -211,3 +213,35 @@ def rollback_version(spark: SparkSession, d: str) -> DataFrame:
     back, all_ = V.restored(after, taken, taken.where("owner % 10 = 0").select("owner", "version"))
     n = all_.groupBy("owner").agg(F.count("*").cast("int").alias("versions"))
     return back.join(n, "owner", "left").na.fill(0, ["versions"]).select(*items.columns, "versions")
+
+
+# --- decisions with what they teach ------------------------------------------------------
+
+_NAMES = "SELECT id, CASE spec_id % 3 WHEN 0 THEN 'пп труба' WHEN 1 THEN 'кран' ELSE concat('насос ', CAST(spec_id % 5 AS STRING)) END AS spec_pattern, CASE WHEN spec_id % 10 = 9 THEN NULL WHEN spec_id % 3 = 0 THEN 'полипропилен труба' ELSE concat('изделие ', CAST(supplier_id % 4 AS STRING)) END AS offer_pattern FROM"
+_RULES = "SELECT DISTINCT spec_pattern, offer_pattern, CAST(supplier_id AS BIGINT) AS supplier_id, CAST(CASE supplier_id % 4 WHEN 0 THEN 0.5 WHEN 1 THEN 0.93 WHEN 2 THEN 0.96 END AS DOUBLE) AS confidence, CAST(1 + supplier_id % 3 AS INT) AS times_used, CAST(supplier_id % 5 = 0 AS INT) AS is_negative, CAST(supplier_id % 7 = 0 AS INT) AS is_analog, CASE supplier_id % 2 WHEN 0 THEN 'import' ELSE 'manual' END AS source FROM {0} WHERE offer_pattern IS NOT NULL AND supplier_id % 3 <> 1"
+_MANY = ", chosen AS (SELECT id FROM links WHERE spec_id % 4 <> 1 AND is_analog = 0)"
+_TOLD = f""", names AS ({_NAMES} links), linked AS (SELECT links.*, spec_pattern, offer_pattern FROM links JOIN names USING (id)), rules AS ({_RULES.format("linked")}), told AS (SELECT * FROM linked WHERE id IN (SELECT id FROM chosen) AND offer_pattern IS NOT NULL),
+ k AS (SELECT spec_pattern, offer_pattern, supplier_id, count(*) AS n, count(*) FILTER (is_confirmed = 0) AS open FROM told GROUP BY ALL), j AS (SELECT r.*, k.n, k.open, coalesce(r.spec_pattern, k.spec_pattern) AS sp, coalesce(r.offer_pattern, k.offer_pattern) AS op, coalesce(r.supplier_id, k.supplier_id) AS su, r.spec_pattern IS NULL AS fresh FROM rules r FULL JOIN k ON r.spec_pattern = k.spec_pattern AND r.offer_pattern = k.offer_pattern AND r.supplier_id = k.supplier_id)"""
+
+
+def _decided(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Links, rules, an empty dictionary, the links that are decided on and the names of all."""
+    t = links(spark, d)
+    names = spark.sql(_NAMES + " {links}", links=t)
+    rules = spark.sql(_RULES.format("{linked}"), linked=t.join(names, "id"))
+    return t, rules, Y.seed(spark).where("false"), t.where("spec_id % 4 <> 1 AND is_analog = 0").select("id"), names
+
+
+@query("matched", _LINKS + _MANY + _TOLD + """ SELECT sp AS spec_pattern, op AS offer_pattern, su AS supplier_id, CASE WHEN n IS NULL THEN confidence WHEN fresh OR is_negative = 1 OR is_analog = 1 OR confidence IS NULL OR confidence < 0.92 THEN CASE WHEN n = 1 THEN 0.92 ELSE least(0.97, 0.92 + 0.02 * (n - 1)) END ELSE least(0.97, confidence + 0.02 * n) END AS confidence,
+ CAST(coalesce(times_used, 0) + coalesce(n, 0) AS INT) AS times_used, CASE WHEN n IS NULL THEN is_negative ELSE 0 END AS is_negative, CASE WHEN n IS NULL THEN is_analog ELSE 0 END AS is_analog, CASE WHEN n IS NULL OR source = 'import' THEN source ELSE 'manual' END AS source FROM j""")
+def confirm_teaches_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Rules after many links were confirmed, several of them by the same names."""
+    t, rules, words, chosen, names = _decided(spark, d)
+    return X.confirmed(t, rules, words, chosen, names).rules
+
+
+@query("matched", _LINKS + _MANY + _TOLD + " SELECT sp AS spec_pattern, op AS offer_pattern, su AS supplier_id, CASE WHEN open > 0 THEN 0.0 ELSE confidence END AS confidence, CAST(coalesce(times_used, 0) + CASE WHEN open > 0 THEN 1 ELSE 0 END AS INT) AS times_used, CASE WHEN open > 0 THEN 1 ELSE is_negative END AS is_negative, CASE WHEN open > 0 THEN 0 ELSE is_analog END AS is_analog, CASE WHEN open > 0 THEN 'reject' ELSE source END AS source FROM j WHERE NOT (fresh AND open = 0)")
+def reject_teaches_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Rules after many links were rejected; names of confirmed ones teach nothing."""
+    t, rules, words, chosen, names = _decided(spark, d)
+    return X.rejected(t, rules, words, chosen, names).rules
