@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from larkspan.functions import documents as D
 from larkspan.functions import names as N
 from larkspan.functions import text as T
+from larkspan.operators import feedback as B
 from larkspan.operators import hierarchy as H
 from larkspan.operators import scoring as C
 from larkspan.plans import oracle as O
@@ -237,3 +238,43 @@ def cache_keys(spark: SparkSession, d: str) -> DataFrame:
     t = A.read(spark, d, "events")
     props = F.coalesce("props", F.lit(""))
     return t.select("event_id", F.sha2(props, 256).alias("content"), F.sha2(F.concat(props, F.lit("|"), F.col("event_type")), 256).alias("cache_key"), (F.unix_timestamp(F.col("ts").cast("timestamp")) + 2592000).alias("expires"))
+
+
+# --- feedback by supplier -----------------------------------------------------------------
+
+_FEEDBACK = "SELECT CASE l_linenumber % 5 WHEN 0 THEN 'reject' WHEN 1 THEN ' tag_price ' WHEN 2 THEN '' WHEN 3 THEN NULL ELSE 'confirm' END AS type, CASE l_suppkey % 3 WHEN 0 THEN 'price_list' WHEN 1 THEN 'invoice' END AS source, CASE l_partkey % 3 WHEN 0 THEN 'resolved' WHEN 1 THEN 'new' END AS status, l_shipdate AS created_at, CASE WHEN l_linenumber % 4 = 0 THEN l_suppkey END AS supplier_id, l_orderkey AS invoice_item_id, l_partkey AS price_list_item_id FROM"
+_DOCUMENTS = {
+    "invoice_items": "SELECT o_orderkey AS id, o_orderkey AS invoice_id FROM {orders}", "invoices": "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 <> 0 THEN o_custkey % 120 END AS supplier_id FROM {orders}",
+    "list_items": "SELECT p_partkey AS id, p_partkey % 50 AS list_id FROM {part} WHERE p_partkey % 7 <> 0", "lists": "SELECT DISTINCT p_partkey % 50 AS id, p_partkey % 50 + 1 AS supplier_id FROM {part}",
+    "sellers": "SELECT s_suppkey AS id, CASE WHEN s_suppkey % 9 = 0 THEN ' ' ELSE s_name END AS name FROM {supplier}",
+}
+
+
+@query(sql="WITH " + ", ".join(f"{n} AS ({v.format(orders='orders', part='part', supplier='supplier')})" for n, v in _DOCUMENTS.items()) + f""", f AS ({_FEEDBACK} lineitem), s AS (
+  SELECT coalesce(nullif(trim(w.name), ''), 'Без поставщика') AS supplier, coalesce(nullif(trim(f.type), ''), 'unknown') AS error_type, CASE WHEN status = 'resolved' THEN 'resolved' ELSE 'new' END AS state, created_at FROM f
+  LEFT JOIN invoice_items ii ON coalesce(f.source, 'invoice') = 'invoice' AND ii.id = f.invoice_item_id LEFT JOIN invoices i ON i.id = ii.invoice_id LEFT JOIN list_items li ON f.source = 'price_list' AND li.id = f.price_list_item_id LEFT JOIN lists l ON l.id = li.list_id LEFT JOIN sellers w ON w.id = coalesce(f.supplier_id, i.supplier_id, l.supplier_id))
+ SELECT supplier, error_type, count(*) AS error_count, count(*) FILTER (state = 'new') AS new_count, count(*) FILTER (state = 'resolved') AS resolved_count FROM s WHERE CAST(created_at AS DATE) >= DATE '1995-06-01' GROUP BY GROUPING SETS ((supplier, error_type), (supplier))""")
+def feedback_by_supplier(spark: SparkSession, d: str) -> DataFrame:
+    """Feedback since a day by supplier and kind, with each supplier's total; the supplier is the feedback's own, its invoice's or its price list's."""
+    tables = {n: A.read(spark, d, n) for n in ("orders", "part", "supplier")}
+    documents = [spark.sql(v, **{n: t for n, t in tables.items() if "{" + n + "}" in v}) for v in _DOCUMENTS.values()]
+    feedback = spark.sql(_FEEDBACK + " {lines}", lines=A.read(spark, d, "lineitem"))
+    return B.breakdown(B.with_suppliers(feedback, *documents), "1995-06-01")
+
+
+# --- the tax of a document --------------------------------------------------------------
+
+_SAID = "CASE spec_id % 11 WHEN 0 THEN 'Работает по УСН' WHEN 1 THEN 'Итого без НДС' WHEN 2 THEN 'НДС не облагается' WHEN 3 THEN 'в том числе НДС 20%' WHEN 4 THEN 'В т.ч. НДС 10 %' WHEN 5 THEN 'Цена с учётом НДС' WHEN 6 THEN 'ставка 10' WHEN 7 THEN 'ндс 20' WHEN 8 THEN 'УСНОВА' ELSE 'Счёт на оплату' END"
+_KIND = "CASE spec_id % 4 WHEN 0 THEN 'with_vat' WHEN 1 THEN 'total_with_vat' WHEN 2 THEN 'without_vat' ELSE 'unclear' END"
+
+
+@query("named", f""", x AS (SELECT spec_id, lower({_SAID}) AS t, {_KIND} AS kind, CASE WHEN spec_id % 13 = 0 THEN NULL ELSE CAST(spec_id % 97 AS DOUBLE) END AS price, quantity, CASE WHEN spec_id % 5 = 0 THEN 3.0 END AS tax FROM named),
+ v AS (SELECT *, regexp_matches(t, '(^|[^а-яё])усн($|[^а-яё])|не облагается|без ндс|ндс\\s*не') AS free, CASE WHEN regexp_matches(t, '20\\s*%|ставка\\s*20|ндс\\s*20') THEN 20 WHEN regexp_matches(t, '10\\s*%|ставка\\s*10') THEN 10 END AS named_rate FROM x)
+ SELECT spec_id, CAST(CASE WHEN free THEN 0 ELSE coalesce(named_rate, 20) END AS INT) AS rate, free OR regexp_matches(t, 'в\\s+том\\s+числе\\s+ндс|в\\s*т\\s*\\.?\\s*ч\\s*\\.?\\s*ндс|с\\s+уч[её]том\\s+ндс') AS included,
+  floor(1000 * CASE WHEN free OR kind = 'with_vat' THEN price WHEN kind = 'total_with_vat' THEN CASE WHEN quantity > 0 AND price > 0 THEN price / quantity ELSE price END WHEN price = 0 THEN NULL WHEN kind = 'without_vat' AND tax > 0 AND quantity > 0 THEN (price * quantity + tax) / quantity WHEN named_rate = 10 THEN price * 1.1 ELSE price * 1.2 END + 0.5) / 1000 AS price,
+  coalesce(price > 0 AND NOT free AND kind = 'unclear' AND named_rate IS NULL, false) AS doubtful FROM v""")
+def document_tax(spark: SparkSession, d: str) -> DataFrame:
+    """The tax that documents' texts name, and unit prices with it inside by the kind of their column."""
+    x = A.named(spark, d).selectExpr("spec_id", f"{_SAID} AS said", f"{_KIND} AS kind", "CASE WHEN spec_id % 13 = 0 THEN NULL ELSE CAST(spec_id % 97 AS DOUBLE) END AS price", "quantity", "CASE WHEN spec_id % 5 = 0 THEN 3.0D END AS tax").withColumn("vat", D.document_vat(F.col("said")))
+    p = x.withColumn("p", D.price_with_vat(F.col("price"), F.col("quantity"), F.col("tax"), F.col("kind"), F.col("vat")))
+    return p.select("spec_id", "vat.rate", "vat.included", (F.floor(F.col("p.price") * 1000 + 0.5) / 1000).alias("price"), F.coalesce(F.col("p.how") == "doubtful", F.lit(False)).alias("doubtful"))
