@@ -17,9 +17,11 @@
    are buckets; in a bucket only members of different labels are compared, by
    size and by an odd sketch (parity bits: the Hamming distance never exceeds
    the symmetric difference, so no linked pair is lost).  A dense bucket first
-   gives a spanning forest only; pairs between labels that are still apart
-   follow in a second round.  So the pairs never grow with the square of a
-   group, and a bucket of very many members is dealt over blocks.
+   gives a spanning forest only, of the nearest pairs by the sketch; forests
+   are taken again with the wide sketch, over the labels that are then left,
+   while they join any; all pairs between labels that are still apart follow
+   at the end.  So the pairs do not grow with the square of a linked group,
+   and a bucket of very many members is dealt over blocks.
    A wide sketch (two to four bits a shingle) then leaves few pairs that do
    not link, before any token set is moved.
 """
@@ -43,6 +45,8 @@ SLOTS = 1 << 16
 FRAGMENTS = 16
 #: A bucket with more candidate pairs than this many times its members is dense.
 DENSE = 1
+#: Rounds of forests by the wide sketch before all pairs between labels that are still apart are compared; more rounds only save pairs.
+FORESTS = 2
 #: Rows compared with the rest of a bucket at a time.
 BLOCK = 256
 #: Rows of a bucket up to which its pairs are formed together with those of other buckets.
@@ -296,10 +300,15 @@ def _fold(odd: bytes, to: int) -> np.ndarray:
     return np.packbits(np.bitwise_xor.reduce(x.reshape(-1, to), axis=0))
 
 
-def _near(x: bytes, y: bytes, both: int, percent: int) -> bool:
-    """Whether two sketches allow that their sets, of ``both`` tokens together, link; the longer one is folded."""
+def _distance(x: bytes, y: bytes) -> int:
+    """Hamming distance of two sketches; the longer one is folded."""
     u, v, bits = int.from_bytes(x), int.from_bytes(y), 8 * min(len(x), len(y))
-    return (_halved(u, 8 * len(x), bits) ^ _halved(v, 8 * len(y), bits)).bit_count() * (100 + percent) <= both * (100 - percent)
+    return (_halved(u, 8 * len(x), bits) ^ _halved(v, 8 * len(y), bits)).bit_count()
+
+
+def _near(x: bytes, y: bytes, both: int, percent: int) -> bool:
+    """Whether two sketches allow that their sets, of ``both`` tokens together, link."""
+    return _distance(x, y) * (100 + percent) <= both * (100 - percent)
 
 
 def _halved(x: int, bits: int, to: int) -> int:
@@ -309,12 +318,16 @@ def _halved(x: int, bits: int, to: int) -> int:
     return x
 
 
-def _allowed(p: np.ndarray, q: np.ndarray, ns: np.ndarray, narrow: np.ndarray, odds: list[bytes], percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Those of the index pairs that the sketches allow, at 256 bits first and then at the width that both have."""
-    near = np.flatnonzero(np.bitwise_count(narrow[p] ^ narrow[q]).sum(axis=1, dtype=np.int64) * (100 + percent) <= (ns[p] + ns[q]) * (100 - percent))
-    p, q = p[near], q[near]
-    keep = [len(odds[x]) == NARROW // 8 or len(odds[y]) == NARROW // 8 or _near(odds[x], odds[y], n, percent) for x, y, n in zip(p.tolist(), q.tolist(), (ns[p] + ns[q]).tolist(), strict=True)]
-    return p[keep], q[keep]
+def _allowed(p: np.ndarray, q: np.ndarray, ns: np.ndarray, narrow: np.ndarray, odds: list[bytes], percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Those of the index pairs that the sketches allow, at 256 bits first and then at the width that both have, and their distances as shares of both sets."""
+    apart, both = np.bitwise_count(narrow[p] ^ narrow[q]).sum(axis=1, dtype=np.int64), ns[p] + ns[q]
+    near = np.flatnonzero(apart * (100 + percent) <= both * (100 - percent))
+    p, q, apart, both = p[near], q[near], apart[near], both[near]
+    for k, (x, y) in enumerate(zip(p.tolist(), q.tolist(), strict=True)):
+        if len(odds[x]) * 8 > NARROW and len(odds[y]) * 8 > NARROW:
+            apart[k] = _distance(odds[x], odds[y])
+    keep = apart * (100 + percent) <= both * (100 - percent)
+    return p[keep], q[keep], apart[keep] / both[keep]
 
 
 def _blocks(a: int, b: int, ns: np.ndarray, labels: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -360,13 +373,13 @@ def _pairs(percent: int, last: bool) -> Callable:
             size = np.repeat(count, count)
             found = [_allowed(p, q, ns, narrow, odds, percent) for p, q in _small(bucket, size, ns, labels, percent)]
             none = np.zeros(0, np.int64)
-            p, q = (np.concatenate(x) for x in (zip(*found, strict=True) if found else ((none,), (none,))))
+            p, q, far = (np.concatenate(x) for x in (zip(*found, strict=True) if found else ((none,), (none,), (none,))))
             dense = np.zeros(len(p), bool)
             if not last and len(p):
                 of = np.searchsorted(start, p, "right") - 1
                 many = np.bincount(of, minlength=len(start)) > DENSE * count
                 dense = many[of]
-                tree = _tree(p[dense], q[dense], labels, bucket)
+                tree = _tree(p[dense], q[dense], far[dense], labels, bucket)
                 p, q = np.append(p[~dense], p[dense][tree]), np.append(q[~dense], q[dense][tree])
                 dense = np.arange(len(p)) >= len(p) - len(tree)
             out = [(p, q, dense)]
@@ -396,24 +409,25 @@ def _partner_rows(ids: np.ndarray, ss: np.ndarray, ns: np.ndarray, p: np.ndarray
     yield pa.RecordBatch.from_arrays([pa.array(ids[p[at]]), pa.array(ss[p[at]]), pa.array(ns[p[at]]), lists, pa.array(dense[at])], ["a", "sa", "na", "partners", "dense"])
 
 
-def _tree(p: np.ndarray, q: np.ndarray, labels: np.ndarray, bucket: np.ndarray) -> list[int]:
-    """Numbers of pairs that span, over the labels, what all pairs of their buckets connect."""
+def _tree(p: np.ndarray, q: np.ndarray, far: np.ndarray, labels: np.ndarray, bucket: np.ndarray) -> list[int]:
+    """Numbers of pairs that span, over the labels, what all pairs of their buckets connect: the nearest ones, which are likeliest to link."""
     nodes: dict[tuple[int, int], int] = {}
-    ends = [[nodes.setdefault(x, len(nodes)) for x in zip(bucket[side].tolist(), labels[side].tolist(), strict=True)] for side in (p, q)]
+    order = np.argsort(far, kind="stable")
+    ends = [[nodes.setdefault(x, len(nodes)) for x in zip(bucket[side].tolist(), labels[side].tolist(), strict=True)] for side in (p[order], q[order])]
     forest = _Forest(list(range(len(nodes))))
-    return [k for k, (x, y) in enumerate(zip(*ends, strict=True)) if forest.join(x, y)]
+    return [k for k, x, y in zip(order.tolist(), *ends, strict=True) if forest.join(x, y)]
 
 
 def _large(a: int, b: int, ns: np.ndarray, labels: np.ndarray, bucket: np.ndarray, narrow: np.ndarray, odds: list[bytes], last: bool, percent: int) -> tuple[np.ndarray, np.ndarray, bool]:
     """Pairs of one large bucket to be verified; True: only a spanning forest, over the labels, of all of them."""
     none = np.zeros(0, np.int64)
-    p, q, dense, total = none, none, False, 0
+    p, q, far, dense, total = none, none, none, False, 0
     for x, y in _blocks(a, b, ns, labels, percent):
-        x, y = _allowed(x, y, ns, narrow, odds, percent)
-        p, q, total = np.append(p, x), np.append(q, y), total + len(x)
+        x, y, z = _allowed(x, y, ns, narrow, odds, percent)
+        p, q, far, total = np.append(p, x), np.append(q, y), np.append(far, z), total + len(x)
         if not last and (dense or total > DENSE * (b - a)):
-            dense, tree = True, _tree(p, q, labels, bucket)
-            p, q = p[tree], q[tree]
+            dense, tree = True, _tree(p, q, far, labels, bucket)
+            p, q, far = p[tree], q[tree], far[tree]
     return p, q, dense
 
 
@@ -579,14 +593,20 @@ def ngram_jaccard_join(docs: DataFrame, size: int = 5, percent: int = 80, id_col
         full = rows.join(labels.selectExpr("id", "s", f"{sketch} AS odd", "label"), ["id", "s"]).select("bucket", "id", "s", "n", "odd", "label")
         return full.repartition("bucket").sortWithinPartitions("bucket", "n", "id").mapInArrow(lean(_pairs(percent, last)), _CANDIDATE)
 
-    first = keep(candidates(named, buckets, "odd", False), "pairs")
-    if not first.isEmpty():
-        dense = first.where("dense <> 0").select(F.col("dense").alias("bucket")).distinct()
-        links = linked(keep(narrowed(_paired(first), stands, percent), "pairs"), links)
-        rest = buckets.join(dense, "bucket", "left_semi")
-        if not dense.isEmpty():
-            more = candidates(_labelled(stands, links), rest, "wide", True)
-            links = linked(keep(_paired(more), "pairs"), links)
+    def dense(found: DataFrame) -> DataFrame:
+        return found.where("dense <> 0").select(F.col("dense").alias("bucket")).distinct()
+
+    found = keep(candidates(named, buckets, "odd", False), "pairs")
+    if not found.isEmpty():
+        links = linked(keep(narrowed(_paired(found), stands, percent), "pairs"), links)
+        forests, apart = 0, named.where("label <> id").count()
+        while not (some := dense(found)).isEmpty():
+            named, before = keep(_labelled(stands, links), "labelled"), apart
+            apart = named.where("label <> id").count()
+            last = forests == FORESTS or apart == before
+            found = keep(candidates(named, buckets.join(some, "bucket", "left_semi"), "wide", last), "pairs")
+            links = linked(keep(_paired(found), "pairs"), links)
+            forests += 1
     # An id that is repeated with several sets is one document: it links the classes that these sets are in.
     several = profile.where("n > 0 AND id IS NOT NULL").groupBy("id").agg(F.min("s1").alias("low"), F.max("s1").alias("high")).where("low < high").select("id")
     if not several.isEmpty():

@@ -168,3 +168,33 @@ def test_secrets_of_any_length(spark):
     assert {(r["doc_id"], r["start"], r["length"]) for r in got if r["doc_id"] in (1, 2)} == {(1, 7, len(token)), (2, 2, len(mixed))}
     starts = [r["start"] for r in got if r["doc_id"] == 3]
     assert len(starts) == 3000 and all(many[s : s + 1] == "k" for s in starts)
+
+
+def test_pairs_of_a_near_threshold_group_stay_few(spark, monkeypatch):
+    """Near copies of which many do not link directly: what is verified grows with the members, not with their square."""
+    r, asked = random.Random(23), []
+    words = [f"w{i}" for i in range(150)]
+    texts = []
+    for _ in range(600):
+        t = list(words)
+        for _ in range(r.choice((1, 1, 2, 2, 3))):
+            t[r.randrange(150)] = f"x{r.randrange(10**6)}"
+        texts.append(" ".join(t))
+    verified = jaccard.verified
+
+    def counted(pairs, *rest):
+        asked.append(pairs.count())
+        return verified(pairs, *rest)
+
+    monkeypatch.setattr(jaccard, "verified", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {x["doc_id"]: x["component_id"] for x in jaccard.ngram_jaccard_join(docs).collect()}
+    shingles = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in map(str.split, texts)]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if root[i] != root[j] and 100 * (k := len(shingles[i] & shingles[j])) >= 80 * (len(shingles[i]) + len(shingles[j]) - k):
+                low, high = sorted((root[i], root[j]))
+                root = [low if x == high else x for x in root]
+    assert got == dict(enumerate(root))
+    assert sum(asked) <= 12 * len(texts), asked
