@@ -13,15 +13,30 @@ from pyspark.sql import functions as F
 
 from larkspan.sources.shared import discard, shared_folder, ship, written  # noqa: F401
 
+def _give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+    if trim is not None:
+        trim(0)
+
+
 def lean(run: Callable) -> Callable:
     """A mapInArrow function after which its Python worker gives the memory back that it no longer needs: workers wait for further tasks, and several wait beside the ones at work."""
 
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
-        if trim is not None:
-            trim(0)
+        _give_back()
+
+    return wrapped
+
+
+def lean_table(run: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """The same of an applyInArrow function, after each group."""
+
+    def wrapped(table: pa.Table) -> pa.Table:
+        out = run(table)
+        _give_back()
+        return out
 
     return wrapped
 

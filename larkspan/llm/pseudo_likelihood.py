@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspan.llm import textvec
-from larkspan.llm.common import lean, ship, summed, sums
+from larkspan.llm.common import lean, lean_table, ship, summed, sums
 
 VOCABULARY = 1 << 16
 CLASSES = 64
@@ -50,6 +50,8 @@ BUCKET_WORDS = 1 << 21
 #: Bits of a word and steps of the network's log-probability in a packed window.
 WORD_BITS = 24
 LOG_STEPS = 1024
+#: Windows of a bucket that are counted at a time, whole contexts each.
+SLICE = 1 << 18
 
 _BLOCK = 4096
 
@@ -191,13 +193,14 @@ def _packed(*columns: np.ndarray) -> bytes:
     return b"".join(_planes(x, size) for x, size in zip(columns, _FIELDS, strict=True))
 
 
-def _unpacked(raw: bytes) -> list[np.ndarray]:
-    x, out, at = np.frombuffer(raw, np.uint8), [], 0
-    n = len(x) // sum(_FIELDS)
-    for size in _FIELDS:
-        out.append(_numbers(x[at : at + n * size], size))
-        at += n * size
-    return out
+#: What holds each field once it is unpacked.
+_TYPES = ("<u8", "<u4", "<u2", "<u2", "<u4")
+
+
+def _field(raw: bytes, k: int) -> np.ndarray:
+    """Field ``k`` of packed windows."""
+    n = len(raw) // sum(_FIELDS)
+    return _numbers(np.frombuffer(raw, np.uint8, n * _FIELDS[k], n * sum(_FIELDS[:k])), _FIELDS[k]).astype(_TYPES[k])
 
 
 def _others(context: np.ndarray, word: np.ndarray, lower: np.ndarray) -> np.ndarray:
@@ -218,21 +221,31 @@ def _others(context: np.ndarray, word: np.ndarray, lower: np.ndarray) -> np.ndar
     return out
 
 
+def _logs(context: np.ndarray, word: np.ndarray, outer: np.ndarray, log: np.ndarray) -> np.ndarray:
+    """log P(word | its windows' contexts); whole contexts are counted at a time, so that what is held beside the windows does not grow with a bucket."""
+    slices = -(-len(context) // SLICE)
+    at = (context >> np.uint64(24)) * np.uint64(slices) >> np.uint64(16)  # contexts have 40 bits
+    at = at.astype(np.uint16)
+    out = np.empty(len(context), np.float32)
+    for s in range(slices):
+        mine = np.flatnonzero(at == s)
+        near, words = context[mine], word[mine].astype(np.uint64)
+        p = _others(near, words, np.exp(-(log[mine] / LOG_STEPS)))
+        wide = textvec.mix64(near << np.uint64(16) | outer[mine]) >> np.uint64(WORD_BITS)
+        out[mine] = np.log(_others(wide, words, p))
+    return out
+
+
 def _scored(table: pa.Table) -> pa.Table:
     """The windows of one bucket -> for each chunk the sums of its documents; heads of chunks go through."""
     rows = sorted(table.to_pylist(), key=lambda r: (r["chunk"], r["head"]))
     blobs = [r for r in rows if not r["head"]]
     if blobs:
-        parts = [_unpacked(r["data"]) for r in blobs]
-        context, word, outer, log = (np.concatenate([p[k] for p in parts]) for k in range(4))
-        p = np.exp(-(log / LOG_STEPS))
-        p = _others(context, word, p)
-        wide = textvec.mix64(context << np.uint64(16) | outer) >> np.uint64(WORD_BITS)
-        logp, at = np.log(_others(wide, word, p)), 0
-        for r, part in zip(blobs, parts, strict=True):
-            doc = np.cumsum(part[4]).astype(np.int64)
+        logp, at = _logs(*(np.concatenate([_field(r["data"], k) for r in blobs]) for k in range(4))), 0
+        for r in blobs:
+            doc = np.cumsum(_field(r["data"], 4), dtype=np.int64)
             starts = np.flatnonzero(np.diff(doc, prepend=-1))
-            sums_ = np.add.reduceat(logp[at : at + len(doc)], starts)
+            sums_ = np.add.reduceat(logp[at : at + len(doc)].astype(np.float64), starts)
             r["data"] = np.diff(doc[starts], prepend=0).astype("<u4").tobytes() + sums_.astype("<f4").tobytes()
             at += len(doc)
     return pa.Table.from_pylist(rows, pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("head", pa.bool_()), ("data", pa.binary())]))
@@ -299,5 +312,5 @@ def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 chunk += 1
 
     windows = rows.mapInArrow(lean(run), part_of).repartition(1 << bits, "bucket")
-    sums_of = windows.groupBy("bucket").applyInArrow(_scored, part_of)
+    sums_of = windows.groupBy("bucket").applyInArrow(lean_table(_scored), part_of)
     return sums_of.groupBy("chunk").applyInArrow(_documents, "doc_id long, n_tokens long, log_likelihood double, mean_log_prob double")
