@@ -6,8 +6,8 @@ A'A·O for the TF-IDF matrix A of all passages and a random O, from which the
 leading right singular vectors follow on the driver (single-pass randomised
 SVD).  In the third pass every window of every document is projected, whitened
 and compared by cosine with all benchmark items of its length.  Candidates that
-hold too few of the item's words are dropped; the others are confirmed by the
-longest common subsequence with the item: most of it, or half of it together with the item's answer (its last words, in order).
+hold too few of the item's rarer words, or of all its words, are dropped, which
+loses none that the last step confirms; the others are confirmed by the longest common subsequence with the item: most of it, or half of it together with the item's answer (its last words, in order).
 """
 
 from __future__ import annotations
@@ -39,8 +39,8 @@ ITEMS = 2000
 PIECE = 200_000
 
 _BLOCK = 256
-#: Items whose words are counted side by side.
-_SLAB = 128
+#: Windows compared with the items of their length at a time.
+_WINDOWS = 1 << 13
 
 
 def _features(h: np.ndarray) -> np.ndarray:
@@ -99,20 +99,20 @@ def right_vectors(texts: DataFrame, idf: np.ndarray, seed: int = 7) -> np.ndarra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf, probe = shared.value
-        weighted = probe * idf[:, None]
-        total = np.zeros((FEATURES, SKETCH), np.float64)
+        weighted = np.ascontiguousarray((probe * idf[:, None]).T)
+        total = np.zeros((SKETCH, FEATURES), np.float64)
         for batch in batches:
             for _, h, before in _pieces(batch, 0):
                 if not len(h):
                     continue
                 f, at = _features(h), _passages(before)
                 first = np.flatnonzero(np.diff(at, prepend=-1))
-                seen = np.add.reduceat(weighted[f], first, axis=0)
-                norm = np.sqrt(_squares(f, at, idf, int(at[-1]) + 1))
-                seen /= np.maximum(norm, 1e-9)[:, None] ** 2  # once for the row, once for its transpose
-                order = np.argsort(f, kind="stable")
-                starts = np.flatnonzero(np.diff(f[order], prepend=-1))
-                total[f[order][starts]] += np.add.reduceat(seen[at[order]], starts, axis=0)
+                length = np.maximum(np.sqrt(_squares(f, at, idf, int(at[-1]) + 1)), 1e-9) ** 2  # once for the row, once for its transpose
+                f = f.astype(np.int64)
+                for k in range(SKETCH):  # a column at a time: sums along memory
+                    seen = np.add.reduceat(weighted[k].take(f), first) / length
+                    total[k] += np.bincount(f, seen.take(at), FEATURES)
+        total = np.ascontiguousarray(total.T)
         total *= idf[:, None]
         yield from sums({b: total[b * _BLOCK : (b + 1) * _BLOCK].astype(np.float32) for b in range(FEATURES // _BLOCK)})
 
@@ -152,7 +152,8 @@ def _lengths(longest: int) -> list[int]:
 class Items:
     """Benchmark items with their words, answers and, for each window length, latent directions."""
 
-    def __init__(self, ids: list[int], texts: list[str], basis: np.ndarray, centre: np.ndarray):
+    def __init__(self, ids: list[int], texts: list[str], basis: np.ndarray, centre: np.ndarray, frequency: np.ndarray | None = None):
+        """``frequency`` of the features says which words are rare; without it results are the same, only slower."""
         self.ids, self.words = ids, []
         data, offsets = textvec.utf8(pa.array(texts, pa.string()))
         h, _, _, before = textvec.words(data, offsets, textvec.PUNCTUATION)
@@ -173,9 +174,37 @@ class Items:
                 f = _features(np.array(w, np.uint64)).astype(np.int64)
                 self.member[i, f] = True
                 self.answer[i] = np.resize(f[-ANSWER:], ANSWER)
+        self._rarest(np.zeros(FEATURES, np.int64) if frequency is None else frequency)
         unit = _unit(np.array(latent, np.float32).reshape(-1, RANK))
         self.by_window = {w: (np.array(i), np.ascontiguousarray(unit[i].T)) for w, i in sorted(rows.items())}
 
+    def _rarest(self, frequency: np.ndarray) -> None:
+        """Words by which a region is found: where c of an item's n words match, m at least of any n - c + m of them do."""
+        self.least = np.ones(len(self.ids), np.int64)
+        of: dict[int, list[int]] = {}
+        for i, w in enumerate(self.words):
+            c = int(np.ceil(PARAPHRASE * len(w)))
+            self.least[i] = m = max(1, len(w) // 6)
+            order = np.argsort(frequency[_features(np.array(w, np.uint64))], kind="stable") if w else []
+            for word in {w[k] for k in order[: len(w) - c + m]}:
+                of.setdefault(word, []).append(i)
+        self.rare = np.array(sorted(of), np.uint64)
+        self.rare_items = np.array([i for word in sorted(of) for i in of[word]], np.int16)  # ITEMS at most
+        self.rare_ends = np.cumsum([0, *(len(of[word]) for word in sorted(of))])
+        self.maybe = np.zeros(FEATURES, bool)
+        self.maybe[_features(self.rare)] = True
+
+    def hits(self, h: np.ndarray, features: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(item, place) of each rarer word of an item among ``h``, by item and then in order."""
+        place = np.flatnonzero(self.maybe[features])
+        at = np.searchsorted(self.rare, h[place])
+        known = self.rare[np.minimum(at, len(self.rare) - 1)] == h[place]
+        place, at = place[known], at[known]
+        n = self.rare_ends[at + 1] - self.rare_ends[at]
+        item = self.rare_items[np.repeat(self.rare_ends[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        order = np.argsort(item, kind="stable")
+        return item[order], np.repeat(place, n)[order]
+
 
 def common_subsequence(item: list[int], region: list[int]) -> int:
     """Length of the longest common subsequence, one bit for each word of the item."""
@@ -211,8 +240,8 @@ class Search:
     """Items that the rows of a batch give away."""
 
     def __init__(self, items: Items, basis: np.ndarray, centre: np.ndarray):
-        self.items, self.basis = items, basis - centre
-        self._held: dict[tuple[int, int], np.ndarray] = {}
+        self.items = items
+        self.basis = np.ascontiguousarray((basis - centre).T)
 
     def _possible(self, features: np.ndarray, low: np.ndarray, high: np.ndarray, item: np.ndarray) -> np.ndarray:
         """Whether a region holds enough of the item's words, and its answer's where those are asked for; what it denies no subsequence can give."""
@@ -225,27 +254,27 @@ class Search:
         size = self.items.sizes[item]
         return (held >= VERBATIM * size) | ((held >= PARAPHRASE * size) & answered)
 
-    def _candidates(self, features: np.ndarray, total: np.ndarray, size: int, first: np.ndarray, end: np.ndarray, low: np.ndarray, high: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """(first window, windows from it, items, cosines) of pairs near enough whose region holds PARAPHRASE of the item's words."""
+    def _regions(self, item: np.ndarray, place: np.ndarray, size: int, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window, item), by window, of the items of one length and the windows whose regions hold enough of their rarer words; low and high ascend."""
+        last = np.arange(len(item)) + self.items.least[item] - 1
+        inside = np.minimum(last, len(item) - 1)
+        enough = np.flatnonzero((last < len(item)) & (item[inside] == item) & (place[inside] - place < size + 2 * max(2, size // 4)))
+        a, b = np.searchsorted(high, place[last[enough]], "right"), np.searchsorted(low, place[enough], "right")
+        n = np.maximum(0, b - a)
+        window = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        both = np.unique(window * len(self.items.ids) + np.repeat(item[enough], n))
+        return both // len(self.items.ids), both % len(self.items.ids)
+
+    def _candidates(self, total: np.ndarray, size: int, first: np.ndarray, end: np.ndarray, window: np.ndarray, item: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(windows, items, cosines) of those of the pairs (window, item) that are near enough; every window is compared with every item of its length."""
         rows, latent = self.items.by_window[size]
-        count = np.uint16 if int((high - low).max(initial=0)) < 1 << 16 else np.uint32  # differences are right modulo its range
-        for s in range(0, len(rows), _SLAB):
-            some = rows[s : s + _SLAB]
-            if (size, s) not in self._held:
-                self._held[size, s] = np.ascontiguousarray(self.items.member[some].T).view(np.uint8)
-            held = self._held[size, s]
-            known = held.any(axis=1)[features]
-            at = np.append(0, np.cumsum(known))
-            seen = np.zeros((int(at[-1]) + 1, len(some)), count)
-            np.cumsum(held[features[known]], axis=0, dtype=count, out=seen[1:])
-            need = np.ceil(PARAPHRASE * self.items.sizes[some]).astype(count)
-            for a in range(0, len(first), 1 << 15):
-                b = a + (1 << 15)
-                enough = seen[at[high[a:b]]] - seen[at[low[a:b]]] >= need
-                if enough.any():
-                    cosine = _unit(total[end[a:b]] - total[first[a:b]]) @ latent[:, s : s + _SLAB]
-                    window, item = np.nonzero(enough & (cosine >= COSINE))
-                    yield a, window, some[item], cosine[window, item]
+        for a in range(0, len(first), _WINDOWS):
+            seen = total.take(end[a : a + _WINDOWS], axis=1) - total.take(first[a : a + _WINDOWS], axis=1)
+            cosine = (latent.T @ seen) / np.maximum(np.sqrt(np.einsum("kw,kw->w", seen, seen)), 1e-30)
+            some = slice(*np.searchsorted(window, (a, a + _WINDOWS)))
+            near = cosine[np.searchsorted(rows, item[some]), window[some] - a]
+            keep = near >= COSINE
+            yield window[some][keep], item[some][keep], near[keep]
 
     def __call__(self, batch: pa.RecordBatch, column: int) -> dict[tuple[int, int], tuple[float, float, int]]:
         """(row, item) -> (share of the item, cosine, first word) of the best passage."""
@@ -254,17 +283,20 @@ class Search:
             if not len(h):
                 continue
             features = _features(h)
-            total = np.zeros((len(h) + 1, RANK), np.float32)
-            np.cumsum(self.basis[features], axis=0, out=total[1:])
+            items, places = self.items.hits(h, features)
             features = np.append(features, np.int16(0)).astype(np.int64)
+            total = np.zeros((RANK, len(h) + 1), np.float32)
+            for k in range(RANK):
+                np.cumsum(self.basis[k].take(features[:-1]), out=total[k, 1:])
             for size in self.items.by_window:
                 row, first, end = _starts(before, size)
                 slack = max(2, size // 4)
                 low, high = np.maximum(before[:-1][row], first - slack), np.minimum(before[1:][row], end + slack)
                 some = max(1, min(1 << 14, (1 << 23) // (size + 2 * slack)))
-                for a, window, item, near in self._candidates(features[:-1], total, size, first, end, low, high):
+                mine = np.isin(items, self.items.by_window[size][0])
+                for window, item, near in self._candidates(total, size, first, end, *self._regions(items[mine], places[mine], size, low, high)):
                     for c in range(0, len(window), some):
-                        w, i, cos = window[c : c + some] + a, item[c : c + some], near[c : c + some]
+                        w, i, cos = window[c : c + some], item[c : c + some], near[c : c + some]
                         for k in np.flatnonzero(self._possible(features, low[w], high[w], i)).tolist():
                             lo, hi, j = int(low[w[k]]), int(high[w[k]]), int(i[k])
                             region, words = h[lo:hi].tolist(), self.items.words[j]
@@ -280,11 +312,11 @@ class Search:
         return found
 
 
-def _latent_space(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(word weights, their mean over the corpus) from all passages of all texts."""
+def _latent_space(texts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word weights, their mean over the corpus, passages with each word) from all passages of all texts."""
     frequency, passages = document_frequencies(texts)
     basis = right_vectors(texts, np.log((passages + 1) / (frequency + 1)) + 1e-3)
-    return basis, (frequency / max(1, frequency.sum()) @ basis).astype(np.float32)
+    return basis, (frequency / max(1, frequency.sum()) @ basis).astype(np.float32), frequency
 
 
 def _blocks_of_items(benchmark: DataFrame) -> Iterator[tuple[list[int], list[str]]]:
@@ -310,10 +342,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    basis, centre = _latent_space(rows.select("text"))
+    basis, centre, frequency = _latent_space(rows.select("text"))
     out = None
     for ids, texts in _blocks_of_items(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(Search(Items(ids, texts, basis, centre), basis, centre))
+        shared = docs.sparkSession.sparkContext.broadcast(Search(Items(ids, texts, basis, centre, frequency), basis, centre))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -336,10 +368,10 @@ def without_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str =
     benchmark, changes nothing.  Columns of any name are allowed.
     """
     ship(docs.sparkSession)
-    basis, centre = _latent_space(docs.select(F.col(text_col).alias("text")))
+    basis, centre, frequency = _latent_space(docs.select(F.col(text_col).alias("text")))
     at = docs.columns.index(text_col)
     for ids, texts in _blocks_of_items(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(Search(Items(ids, texts, basis, centre), basis, centre))
+        shared = docs.sparkSession.sparkContext.broadcast(Search(Items(ids, texts, basis, centre, frequency), basis, centre))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:

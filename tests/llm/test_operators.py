@@ -253,6 +253,46 @@ def test_contamination_by_a_long_item(spark):
     assert [x["doc_id"] for x in decontamination.without_contamination(frame, bench).collect()] == [1]
 
 
+def test_rarer_words_find_every_region_and_few_others(monkeypatch):
+    """All passages that the subsequence confirms, at five lengths, though common words alone fill half of an item everywhere."""
+    r = random.Random(31)
+    common, rare = [f"c{i}" for i in range(10)], [f"r{i}" for i in range(3000)]
+    mixed = lambda n, share: [r.choice(common) if r.random() < share else r.choice(rare) for _ in range(n)]
+    items = [mixed(n, 0.3) for n in (3, 7, 14, 30, 30, 60, 61, 90)]
+    texts = []
+    for n in range(80):
+        text = mixed(200, 0.7)
+        if n % 2:  # some words of an item replaced or left out, its last three kept
+            item = items[n // 2 % len(items)]
+            cut = [w for w in item[:-3] if r.random() < 0.7] + item[-3:]
+            text[50:50] = [r.choice(rare) if k < len(cut) - 3 and r.random() < 0.2 else w for k, w in enumerate(cut)]
+        texts.append(" ".join(text))
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    h, _, _, before = textvec.words(*textvec.utf8(pa.array(texts)), textvec.PUNCTUATION)
+    frequency = np.bincount(decontamination._features(h), minlength=decontamination.FEATURES)
+    basis, centre = np.ones((decontamination.FEATURES, decontamination.RANK), np.float32), np.zeros(decontamination.RANK, np.float32)  # all cosines are 1
+    found = decontamination.Items(list(range(len(items))), [" ".join(x) for x in items], basis, centre, frequency)
+    possible, asked = decontamination.Search._possible, []
+
+    def counted(self, features, low, high, item):
+        asked.append(len(item))
+        return possible(self, features, low, high, item)
+
+    monkeypatch.setattr(decontamination.Search, "_possible", counted)
+    got = {k: v[0] for k, v in decontamination.Search(found, basis, centre)(batch, 0).items()}
+    want, windows = {}, 0
+    for j, words in enumerate(found.words):
+        size = next(w for w in decontamination.WINDOWS if w >= len(words))
+        slack, (row, first, end) = max(2, size // 4), decontamination._starts(before, size)
+        windows += len(row)
+        for i, lo, hi in zip(row.tolist(), np.maximum(before[:-1][row], first - slack).tolist(), np.minimum(before[1:][row], end + slack).tolist(), strict=True):
+            share = decontamination.common_subsequence(words, h[lo:hi].tolist()) / len(words)
+            if share >= 0.7 or share >= 0.5 and decontamination._in_order(words[-3:], h[lo:hi].tolist()):
+                want[i, j] = max(share, want.get((i, j), 0))
+    assert got == want and len(want) > 20
+    assert sum(asked) < windows / 4, (sum(asked), windows)
+
+
 def test_common_subsequence():
     for _ in range(200):
         a, b = ([R.randint(0, 5) for _ in range(R.randint(1, 15))] for _ in range(2))
