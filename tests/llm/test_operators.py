@@ -142,6 +142,20 @@ def test_token_files(docs, empty):
     assert token_files.token_file_digest(empty, PATH).count() == 0
 
 
+def test_pieces_meet_in_one_call_of_the_library():
+    """Ids of all kinds of pieces: those that their space keeps apart, and those that a special token does."""
+    r, library = random.Random(9), Tokenizer.from_file(PATH)
+    encoder = token_files._encoder(bpe.read_vocabulary(PATH))
+    texts = ["".join(r.choice(["a", "Zé", "日", " ", "  ", "\n", "\x1c", "\xa0", " x", " été", "'s", "7", " 42", "!?", " \u0378"]) for _ in range(60)) for _ in range(200)]
+    for text, ids in zip(texts, encoder.encode_all(texts), strict=True):
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
+    pieces = [" " + x for x in WORDS] + ["ab", "  ", " \n", "\n"]
+    ids, ends = encoder.pieces.make(pieces)
+    for piece, a, b in zip(pieces, [0, *ends], ends, strict=False):
+        assert list(ids[a:b]) == library.encode(piece, add_special_tokens=False).ids
+    assert isinstance(ids, np.ndarray)
+
+
 def test_token_block_round_trip():
     for n in (0, 1, 5, 4096):
         ranks = np.array([R.choice([3, 255, 256, 70_000, 1 << 25]) for _ in range(n)], np.int64)
