@@ -48,9 +48,10 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Rows are judged each by their text, repeated ones and those with a null id
     too; null and wordless texts stay.  An empty table stays empty; an empty
-    benchmark changes nothing.
+    benchmark changes nothing.  What is left is written in the stage itself, so
+    that its texts pass through Python in small batches.
     """
-    return without_contamination(docs, table(spark, sf_dir, "benchmark"))
+    return written(without_contamination(docs, table(spark, sf_dir, "benchmark")), "clean")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -79,5 +80,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        kept = stage(spark, docs, sf_dir)
+        docs = kept if hasattr(kept, "written_to") else written(kept, f"stage-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)

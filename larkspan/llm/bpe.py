@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspan.llm.common import lean, ship
+from larkspan.llm.common import kept, lean, ship
 
 #: A vocabulary file over this size is refused: it goes to every worker.
 MOST_BYTES = 64_000_000
@@ -261,7 +261,7 @@ class Decoder(Offsets):
             return raw.decode(errors="replace").encode()
 
 
-_WORKER: dict[str, tuple] = {}
+_WORKER: dict[str, tuple] = kept(__name__)
 
 
 def worker(source: bytes) -> tuple[Encoder, Decoder, Offsets]:

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspan.sources.shared import discard, shared_folder, ship, written  # noqa: F401
+from larkspan.sources.shared import SMALL_BATCHES, discard, settings, shared_folder, ship, written  # noqa: F401
 
 def _give_back() -> None:
     pa.default_memory_pool().release_unused()
@@ -20,10 +20,30 @@ def _give_back() -> None:
         trim(0)
 
 
+_KEPT: dict[str, dict] = {}
+
+
+def kept(module: str) -> dict:
+    """What ``module`` keeps in this process between its tasks, such as an encoder.
+
+    It goes when a task of another module begins: workers live on from stage to
+    stage, and an encoder with all that it has learnt would stand beside the
+    work of the stages that follow.
+    """
+    return _KEPT.setdefault(module, {})
+
+
+def _make_room(run: Callable) -> None:
+    for module, values in _KEPT.items():
+        if module != run.__module__:
+            values.clear()
+
+
 def lean(run: Callable) -> Callable:
-    """A mapInArrow function after which its Python worker gives the memory back that it no longer needs: workers wait for further tasks, and several wait beside the ones at work."""
+    """A mapInArrow function before which its Python worker drops what other modules keep, and after which it gives the memory back that it no longer needs: workers wait for further tasks, and several wait beside the ones at work."""
 
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _make_room(run)
         yield from run(batches)
         _give_back()
 
@@ -34,6 +54,7 @@ def lean_table(run: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.T
     """The same of an applyInArrow function, after each group."""
 
     def wrapped(table: pa.Table) -> pa.Table:
+        _make_room(run)
         out = run(table)
         _give_back()
         return out
@@ -84,4 +105,5 @@ def summed(rows: DataFrame, run, dtype: str, how: str = "sum") -> dict[int, np.n
 
     first = rows.mapInArrow(lean(run), _SUMS).repartition("block", "part").mapInArrow(lean(add), _SUMS)
     last = first.withColumn("part", F.lit(0)).repartition("block").mapInArrow(lean(add), _SUMS)
-    return {r["block"]: np.frombuffer(bytes(r["vector"]), dtype) for r in last.select("block", "vector").collect()}
+    with settings(rows.sparkSession, SMALL_BATCHES):
+        return {r["block"]: np.frombuffer(bytes(r["vector"]), dtype) for r in last.select("block", "vector").collect()}

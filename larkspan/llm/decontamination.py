@@ -41,6 +41,8 @@ PIECE = 200_000
 _BLOCK = 256
 #: Windows compared with the items of their length at a time.
 _WINDOWS = 1 << 13
+#: Words of candidate regions looked up at a time.
+_WORDS = 1 << 18
 
 
 def _features(h: np.ndarray) -> np.ndarray:
@@ -292,7 +294,7 @@ class Search:
                 row, first, end = _starts(before, size)
                 slack = max(2, size // 4)
                 low, high = np.maximum(before[:-1][row], first - slack), np.minimum(before[1:][row], end + slack)
-                some = max(1, min(1 << 14, (1 << 23) // (size + 2 * slack)))
+                some = max(1, _WORDS // (size + 2 * slack))
                 mine = np.isin(items, self.items.by_window[size][0])
                 for window, item, near in self._candidates(total, size, first, end, *self._regions(items[mine], places[mine], size, low, high)):
                     for c in range(0, len(window), some):

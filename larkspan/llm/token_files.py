@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larkspan.llm.bpe import Encoder, read_vocabulary
-from larkspan.llm.common import lean, shared_folder, ship
+from larkspan.llm.common import kept, lean, shared_folder, ship
 
 MAGIC = b"TKB1"
 BLOCK_IDS = 1 << 18
@@ -69,7 +69,7 @@ def unpack(block: bytes) -> tuple[np.ndarray, np.ndarray]:
     return lengths, ranks
 
 
-_WORKER: dict[int, Encoder] = {}
+_WORKER: dict[int, Encoder] = kept(__name__)
 
 
 def _encoder(source: bytes) -> Encoder:
