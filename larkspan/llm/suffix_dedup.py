@@ -1,9 +1,10 @@
 """Removal of passages that an earlier document holds, by suffix arrays.
 
 A byte goes if a string of ``span`` bytes over it also starts in a document of
-smaller id.  Every such string is owned by the smallest hash of the k-byte runs
+smaller id.  Every such string is owned by the k-byte run of smallest hash
 inside it, so equal strings have equal owners wherever they stand; a segment is
-a run of strings with one owner.
+a run of strings with one owner.  Owners are those smallest hashes mixed once
+more: the smallest of many are small numbers, and owners are dealt out by size.
 
 1. Documents give their segments as owner, fingerprint and place.  Equal
    segments are settled by their smallest document, within a partition first,
@@ -72,7 +73,7 @@ def owners(data: np.ndarray, offsets: np.ndarray, span: int, gram: int) -> tuple
     end = np.append(at[np.flatnonzero(new)[1:] - 1], at[-1]) + span
     with np.errstate(over="ignore"):
         print_ = textvec.mix64((total[end] - total[first]) * down[first] + (end - first).astype(_U))
-    return row[first], least[first], print_, first, end
+    return row[first], textvec.mix64(least[first] + _U(1)), print_, first, end
 
 
 def _planes(x: np.ndarray) -> bytes:

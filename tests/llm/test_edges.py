@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -198,3 +199,11 @@ def test_pairs_of_a_near_threshold_group_stay_few(spark, monkeypatch):
                 root = [low if x == high else x for x in root]
     assert got == dict(enumerate(root))
     assert sum(asked) <= 12 * len(texts), asked
+
+
+def test_owners_fall_evenly_into_buckets():
+    """An owner is the smallest of many hashes, itself a small number; buckets are ranges of owners."""
+    data = np.random.default_rng(1).integers(97, 123, 200_000).astype(np.uint8)
+    owner = suffix_dedup.owners(data, np.array([0, len(data)]), 50, 16)[1]
+    share = np.bincount((owner >> np.uint64(60)).astype(np.int64), minlength=16) / len(owner)
+    assert share.max() < 2 / 16
