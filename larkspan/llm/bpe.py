@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Callable, Iterator
 from functools import cache
 
@@ -32,6 +33,16 @@ PIECES = 300_000
 
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+
+def _latin() -> str:
+    """PATTERN for texts of the first 256 characters, its classes spelt out: for these Python's own engine can be used, which is faster."""
+    letters, digits, spaces = ("".join(re.escape(chr(i)) for i in range(256) if regex.match(p, chr(i))) for p in (r"\p{L}", r"\p{N}", r"\s"))
+    out = PATTERN.replace(r"[^\s\p{L}\p{N}]", f"[^{spaces}{letters}{digits}]").replace(r"\p{L}", f"[{letters}]").replace(r"\p{N}", f"[{digits}]")
+    return out.replace(r"\s", f"[{spaces}]").replace(r"\S", f"[^{spaces}]")
+
+
+LATIN = _latin()
+
 # Letters and digits of Unicode 17 that the tokenisers' Unicode 16 tables do not know as such.
 NEWER = regex.compile(
     "[\u0558\u058b-\u058c\u088f\u0c5c\u0cdc\u208f\u209d-\u209f\ua7ce-\ua7cf\ua7d2\ua7d4\ua7dd\ua7e2\ua7f1\uab6c-\uab6d"
@@ -190,13 +201,13 @@ class Encoder:
     def __init__(self, source: bytes, make: Callable[[list[str]], tuple[list[int], list[int]]] | None = None):
         self.codes = Codes(source)
         self.pieces = Pieces(make or self.codes.pieces_ids)
-        self._find = regex.compile(PATTERN).findall
+        self._find, self._find_latin = regex.compile(PATTERN).findall, re.compile(LATIN).findall
 
     def find(self, text: str) -> list[str]:
         """The pieces of a text without special tokens."""
         try:
             text.encode("latin-1")  # a quick way to see that nothing in the text is newer
-            return self._find(text)
+            return self._find_latin(text)
         except UnicodeEncodeError:
             if not NEWER.search(text):
                 return self._find(text)

@@ -132,6 +132,13 @@ def test_bpe_on_random_strings():
         assert encoder.encode(t).tolist() == library.encode(t, add_special_tokens=False).ids
 
 
+def test_latin_texts_are_cut_alike_by_both_engines():
+    r, find, latin = random.Random(4), bpe.regex.compile(bpe.PATTERN).findall, bpe.re.compile(bpe.LATIN).findall
+    texts = [chr(a) + chr(b) + x for a in range(256) for b in range(256) for x in ("", "a")]
+    texts += ["".join(r.choice(" \n\t\xa0\x85\x1c'aZé7²½ª_-stmrevld") for _ in range(40)) for _ in range(3000)]
+    assert all(latin(t) == find(t) for t in texts)
+
+
 def test_token_files(docs, empty):
     library, at = Tokenizer.from_file(PATH), 0
     got = {r["doc_id"]: (r["start"], r["n_tokens"], r["ids_crc32"]) for r in token_files.token_file_digest(docs, PATH).collect()}
