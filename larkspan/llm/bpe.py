@@ -169,30 +169,26 @@ class Codes:
         return ids, ends
 
 
-class Pieces(dict):
-    """piece -> its ids as bytes.  Bounded: when the young pieces fill the table, it becomes the old one."""
+class Pieces:
+    """piece -> its ids as bytes, in ``now``.  Bounded: when the young pieces fill the table, it becomes the old one."""
 
     def __init__(self, make: Callable[[list[str]], tuple[list[int], list[int]]]):
-        self.make, self.old = make, {}
+        # Plain dictionaries: a set is compared with one piece by piece of its own, with a subclass by all pieces of the table.
+        self.make, self.now, self.old = make, {}, {}
 
     def learn(self, pieces: set[str]) -> None:
         """Makes all pieces that are not here ready; those that are not made at once are made one by one."""
-        if len(self) >= PIECES:
-            self.old = dict(self)
-            self.clear()
-        missing = []
-        for piece in pieces.difference(self):
-            if (ids := self.old.get(piece)) is not None:
-                self[piece] = ids
-            else:
-                missing.append(piece)
+        if len(self.now) >= PIECES:
+            self.now, self.old = {}, self.now
+        absent = pieces.difference(self.now)
+        missing = list(absent.difference(self.old))
+        again = absent.difference(missing)
+        self.now.update(zip(again, map(self.old.__getitem__, again), strict=True))
         for a in range(0, len(missing), 4096):
             part = missing[a : a + 4096]
             ids, ends = self.make(part)
-            raw, at = np.array(ids, "<u4").tobytes(), 0
-            for piece, end in zip(part, ends, strict=True):
-                self[piece] = raw[at : 4 * end]
-                at = 4 * end
+            raw, ends = np.array(ids, "<u4").tobytes(), (4 * np.asarray(ends)).tolist()
+            self.now.update(zip(part, map(raw.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
 
 
 class Encoder:
@@ -228,7 +224,7 @@ class Encoder:
             else:
                 found.append([x for part in cut.split(text) for x in ([part] if part in special else self.find(part))])
         self.pieces.learn(set().union(*found).difference(special))
-        table = self.pieces
+        table = self.pieces.now
         out = []
         for text, pieces in zip(texts, found, strict=True):
             if cut is not None and text and any(s in text for s in special):

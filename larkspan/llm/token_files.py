@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from larkspan.llm.bpe import Encoder, read_vocabulary
+from larkspan.llm.bpe import Encoder, byte_letters, read_vocabulary
 from larkspan.llm.common import kept, lean, shared_folder, ship
 
 MAGIC = b"TKB1"
@@ -41,11 +41,12 @@ _LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.u
 def pack(lengths: np.ndarray, ranks: np.ndarray) -> bytes:
     """One block of documents of the given lengths."""
     r = ranks.astype(np.uint32)
-    size = 1 + (r > 0xFF).astype(np.uint8) + (r > 0xFFFF) + (r > 0xFFFFFF)
-    quad = np.zeros(-(-len(r) // 4) * 4, np.uint8)
-    quad[: len(r)] = size - 1
-    control = (quad.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(axis=1).astype(np.uint8)
-    data = r.astype("<u4").view(np.uint8).reshape(-1, 4)[np.arange(4) < size[:, None]]
+    longest = (int(r.max(initial=1)).bit_length() + 7) // 8
+    more = np.zeros(-(-len(r) // 4) * 4, np.uint8)
+    for k in range(1, longest):
+        more[: len(r)] += r >= 1 << 8 * k
+    control = more[0::4] | more[1::4] << 2 | more[2::4] << 4 | more[3::4] << 6
+    data = r.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :longest][np.arange(longest) <= more[: len(r), None]]
     return MAGIC + struct.pack("<IQ", len(lengths), len(r)) + lengths.astype("<u4").tobytes() + control.tobytes() + data.tobytes()
 
 
@@ -65,6 +66,8 @@ def unpack(block: bytes) -> tuple[np.ndarray, np.ndarray]:
     ranks = data[start].astype(np.uint32)
     for k in (1, 2, 3):
         more = np.flatnonzero(size > k)
+        if not len(more):
+            break
         ranks[more] |= data[start[more] + k].astype(np.uint32) << np.uint32(8 * k)
     return lengths, ranks
 
@@ -78,61 +81,67 @@ def _encoder(source: bytes) -> Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        library = Tokenizer.from_str(source.decode())
-        library.no_truncation()
-        library.no_padding()
-
-        special = library.get_added_tokens_decoder()
-        mark = min(special, default=None)
-
-        def marked(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-            """All pieces in one call of the library: a special token between two of them keeps them apart."""
-            if mark is None:
-                found = [x.ids for x in library.encode_batch_fast(pieces, add_special_tokens=False)]
-                return np.array([i for ids in found for i in ids], "<u4"), np.cumsum([len(ids) for ids in found])
-            text = special[mark].content.join([*pieces, ""])
-            ids = np.array(library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-            at = np.flatnonzero(ids == mark)
-            return ids[ids != mark], at - np.arange(len(at))
+        model = Tokenizer.from_str(source.decode()).model
+        letters = {byte: letter for letter, byte in byte_letters().items()}
+        spelt = str.maketrans({chr(byte): letter for byte, letter in letters.items()})
 
         def make(pieces: list[str]) -> tuple[np.ndarray, list[int]]:
-            """Pieces that begin with their only space keep apart by themselves: the bytes of the ids say where each ends."""
-            own = np.array([p[0] == " " and p.count(" ") == 1 and not p.isspace() for p in pieces])
-            text = "".join([p for p, ok in zip(pieces, own.tolist(), strict=True) if ok])
-            ids = np.array(library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.searchsorted(np.cumsum(size[ids]), np.append(np.flatnonzero(np.frombuffer(text.encode(), np.uint8) == 32)[1:], len(text.encode()))) + 1
-            if own.all():
-                return ids, ends.tolist()
-            if not own.any():
-                ids, ends = marked(pieces)
-                return ids, ends.tolist()
-            more, stops = marked([p for p, ok in zip(pieces, own.tolist(), strict=True) if not ok])
-            first, n = np.empty(len(pieces), np.int64), np.empty(len(pieces), np.int64)
-            n[own], n[~own] = np.diff(ends, prepend=0), np.diff(stops, prepend=0)
-            first[own], first[~own] = ends - n[own], len(ids) + stops - n[~own]
-            upto = np.cumsum(n)
-            return np.append(ids, more)[np.repeat(first - (upto - n), n) + np.arange(upto[-1])], upto.tolist()
-
-        encoder = _WORKER[key] = Encoder(source, make)
-        size = np.array([len(x) for x in encoder.codes.text], np.int64)
+            """The library's model over pieces that are cut already: its own cutting, which keeps an offset for each character, costs as much again."""
+            names = "\n".join(pieces).encode().decode("latin-1").translate(spelt).split(letters[10])
+            if len(names) != len(pieces):  # some piece holds the separator
+                names = [p.encode().decode("latin-1").translate(spelt) for p in pieces]
+            ids: list[int] = []
+            ends = []
+            for name in names:
+                ids += [token.id for token in model.tokenize(name)]
+                ends.append(len(ids))
+            return np.array(ids, "<u4"), ends
+
+        _WORKER[key] = Encoder(source, make)
     return _WORKER[key]
 
 
+_TOKENS = "doc_id long, n long, ids binary, counts binary"
+#: Entries of ``counts``: how often an id occurs.
+_COUNT = np.dtype([("id", "<i8"), ("n", "<i8")])
+
+
 def tokenised(docs: DataFrame, vocabulary_path: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, n, ids binary little-endian u16 or u32) of each document, end id included."""
+    """(doc_id, n, ids binary little-endian u16 or u32, counts) of each document, end id included.
+
+    One more row a partition holds nothing but how often each id occurs in it
+    (``counts``, else null), so that the texts' ids are not read for that again.
+    """
     ship(docs.sparkSession)
     source = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(source.value)
-        width = "<u2" if max(len(encoder.codes.text), end_id + 1) <= 1 << 16 else "<u4"
+        known = max(len(encoder.codes.text), end_id + 1)
+        width, total = "<u2" if known <= 1 << 16 else "<u4", np.zeros(known, np.int64)
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
                 part = batch.slice(a, 512)
-                ids = [np.append(x, np.uint32(end_id)).astype(width) for x in encoder.encode_all(part.column(1).to_pylist())]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())], ["doc_id", "n", "ids"])
+                ids = encoder.encode_all(part.column(1).to_pylist())
+                n = np.array([len(x) + 1 for x in ids], np.int64)
+                ends = np.cumsum(n)
+                flat = np.full(ends[-1], end_id, width)
+                keep = np.ones(len(flat), bool)
+                keep[ends - 1] = False
+                flat[keep] = np.concatenate(ids)
+                total += np.bincount(flat, minlength=known)
+                at = pa.array(np.append(0, ends) * flat.itemsize, pa.int32())
+                raw = pa.Array.from_buffers(pa.binary(), len(n), [None, at.buffers()[1], pa.py_buffer(flat)])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), raw, pa.nulls(len(n), pa.binary())], _TOKEN_NAMES)
+        found = np.flatnonzero(total)
+        counts = np.empty(len(found), _COUNT)
+        counts["id"], counts["n"] = found, total[found]
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([counts.tobytes()], pa.binary())], _TOKEN_NAMES)
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(run), _TOKENS)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(run), "doc_id long, n long, ids binary")
+
+_TOKEN_NAMES = [c.split()[0] for c in _TOKENS.split(", ")]
 
 
 def _ids(n: int, raw: bytes) -> np.ndarray:
@@ -143,20 +152,12 @@ def frequency_ranks(tokens: DataFrame) -> np.ndarray:
     """rank of each id, most frequent first, then smallest id; as long as the largest id (the vocabulary bounds it)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << 16, np.int64)
         for batch in batches:
-            for n, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = _ids(n, raw)
-                if len(ids) and ids.max() >= len(total):
-                    total = np.append(total, np.zeros(int(ids.max()) + 1 - len(total), np.int64))
-                if len(ids) > 4096:
-                    total += np.bincount(ids, minlength=len(total))
-                else:
-                    np.add.at(total, ids, 1)
-        found = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], ["id", "n"])
+            for raw in batch.column(0).to_pylist():
+                found = np.frombuffer(raw, _COUNT)
+                yield pa.RecordBatch.from_arrays([pa.array(found["id"].copy()), pa.array(found["n"].copy())], ["id", "n"])
 
-    rows = tokens.select("n", "ids").mapInArrow(lean(count), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    rows = tokens.where("counts IS NOT NULL").select("counts").mapInArrow(lean(count), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     order = sorted(rows, key=lambda r: (-r["n"], r["id"]))
     ranks = np.full(max([0, *(r["id"] for r in rows)]) + 1, UNUSED)
     for rank, row in enumerate(order):
@@ -168,7 +169,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary_path: str, end_id:
     """Writes ``path``/tokens (for reuse), ``path``/ranks and ``path``/blocks in ascending doc_id order, null ids first."""
     spark = docs.sparkSession
     tokenised(docs, vocabulary_path, end_id, id_col, text_col).write.parquet(f"{path}/tokens")
-    tokens = spark.read.schema("doc_id long, n long, ids binary").parquet(f"{path}/tokens")
+    tokens = spark.read.schema(_TOKENS).parquet(f"{path}/tokens")
     ranks = frequency_ranks(tokens)
     spark.createDataFrame([(ranks.astype("<u4").tobytes(),)], "ranks binary").coalesce(1).write.parquet(f"{path}/ranks")
     shared = spark.sparkContext.broadcast(ranks)
@@ -194,7 +195,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary_path: str, end_id:
         if keys:
             yield flush()
 
-    tokens.repartitionByRange("doc_id").sortWithinPartitions(F.asc_nulls_first("doc_id"), "ids").mapInArrow(lean(blocks), _BLOCKS).write.parquet(f"{path}/blocks")
+    tokens.where("counts IS NULL").select("doc_id", "n", "ids").repartitionByRange("doc_id").sortWithinPartitions(F.asc_nulls_first("doc_id"), "ids").mapInArrow(lean(blocks), _BLOCKS).write.parquet(f"{path}/blocks")
 
 
 _BLOCKS = "shard int, block long, n long, doc_ids array<long>, payload binary"
