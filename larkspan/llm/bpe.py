@@ -15,7 +15,7 @@ import hashlib
 import json
 import re
 from collections.abc import Callable, Iterator
-from functools import cache
+from functools import cache, cached_property
 
 import ahocorasick
 import numpy as np
@@ -88,16 +88,6 @@ class Codes:
             self.right.append(right)
             self.id.append(vocabulary[a + b])
         self.rank = rank
-        real = [True] * 256
-        for t in range(256, len(self.bytes)):
-            real.append(real[self.left[t]] and real[self.right[t]] and self._apart(self.left[t], self.right[t], t))
-        self.real = real
-        self.longest = ahocorasick.Automaton()
-        for text, t in rank.items():
-            if real[t]:
-                self.longest.add_word(text.decode("latin-1"), (t, len(text)))
-        self.longest.make_automaton()
-        self.shorter = [self._prefix(text) for text in self.bytes]
         self.compatible = cache(lambda a, b: self._apart(a, b, len(self.bytes)))
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
@@ -108,6 +98,28 @@ class Codes:
         for text, i in self.special.items():
             self.text[i] = text.encode()
 
+    # What only ``ranks`` needs is made when it is asked first: other encoders use the rest alone.
+
+    @cached_property
+    def real(self) -> list[bool]:
+        real = [True] * 256
+        for t in range(256, len(self.bytes)):
+            real.append(real[self.left[t]] and real[self.right[t]] and self._apart(self.left[t], self.right[t], t))
+        return real
+
+    @cached_property
+    def longest(self) -> ahocorasick.Automaton:
+        longest = ahocorasick.Automaton()
+        for text, t in self.rank.items():
+            if self.real[t]:
+                longest.add_word(text.decode("latin-1"), (t, len(text)))
+        longest.make_automaton()
+        return longest
+
+    @cached_property
+    def shorter(self) -> list[int]:
+        return [self._prefix(text) for text in self.bytes]
+
     def _prefix(self, text: bytes) -> int:
         for n in range(len(text) - 1, 0, -1):
             if self.real[t := self.rank.get(text[:n], -1)] and t >= 0:
@@ -172,13 +184,14 @@ class Codes:
 class Pieces:
     """piece -> its ids as bytes, in ``now``.  Bounded: when the young pieces fill the table, it becomes the old one."""
 
-    def __init__(self, make: Callable[[list[str]], tuple[list[int], list[int]]]):
+    def __init__(self, make: Callable[[list[str]], tuple[list[int], list[int]]], most: int | None = None):
+        self.most = most
         # Plain dictionaries: a set is compared with one piece by piece of its own, with a subclass by all pieces of the table.
         self.make, self.now, self.old = make, {}, {}
 
     def learn(self, pieces: set[str]) -> None:
         """Makes all pieces that are not here ready; those that are not made at once are made one by one."""
-        if len(self.now) >= PIECES:
+        if len(self.now) >= (self.most or PIECES):
             self.now, self.old = {}, self.now
         absent = pieces.difference(self.now)
         missing = list(absent.difference(self.old))
@@ -192,11 +205,11 @@ class Pieces:
 
 
 class Encoder:
-    """Whole texts to ids; ``make`` gives the ids of a list of pieces and where each piece's end."""
+    """Whole texts to ids; ``make`` gives the ids of a list of pieces and where each piece's end, ``most`` is how many of them are remembered, twice (None: PIECES)."""
 
-    def __init__(self, source: bytes, make: Callable[[list[str]], tuple[list[int], list[int]]] | None = None):
+    def __init__(self, source: bytes, make: Callable[[list[str]], tuple[list[int], list[int]]] | None = None, most: int | None = None):
         self.codes = Codes(source)
-        self.pieces = Pieces(make or self.codes.pieces_ids)
+        self.pieces = Pieces(make or self.codes.pieces_ids, most)
         self._find, self._find_latin = regex.compile(PATTERN).findall, re.compile(LATIN).findall
 
     def find(self, text: str) -> list[str]:

@@ -40,13 +40,19 @@ _LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.u
 
 def pack(lengths: np.ndarray, ranks: np.ndarray) -> bytes:
     """One block of documents of the given lengths."""
-    r = ranks.astype(np.uint32)
+    r = np.ascontiguousarray(ranks, "<u4")
     longest = (int(r.max(initial=1)).bit_length() + 7) // 8
     more = np.zeros(-(-len(r) // 4) * 4, np.uint8)
     for k in range(1, longest):
         more[: len(r)] += r >= 1 << 8 * k
     control = more[0::4] | more[1::4] << 2 | more[2::4] << 4 | more[3::4] << 6
-    data = r.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :longest][np.arange(longest) <= more[: len(r), None]]
+    more, bytes_of = more[: len(r)], r.view(np.uint8).reshape(-1, 4)
+    start = np.cumsum(more, dtype=np.int64) - more + np.arange(len(r))
+    data = np.empty(len(r) + int(more.sum(dtype=np.int64)), np.uint8)
+    data[start] = bytes_of[:, 0]
+    for k in range(1, longest):
+        at = np.flatnonzero(more >= k)
+        data[start[at] + k] = bytes_of[at, k]
     return MAGIC + struct.pack("<IQ", len(lengths), len(r)) + lengths.astype("<u4").tobytes() + control.tobytes() + data.tobytes()
 
 
@@ -73,6 +79,8 @@ def unpack(block: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 _WORKER: dict[int, Encoder] = kept(__name__)
+#: Pieces that a worker remembers, twice: twice those of op2, as this one keeps no decoder beside them.
+PIECES = 600_000
 
 
 def _encoder(source: bytes) -> Encoder:
@@ -97,7 +105,7 @@ def _encoder(source: bytes) -> Encoder:
                 ends.append(len(ids))
             return np.array(ids, "<u4"), ends
 
-        _WORKER[key] = Encoder(source, make)
+        _WORKER[key] = Encoder(source, make, PIECES)
     return _WORKER[key]
 
 
@@ -159,7 +167,7 @@ def frequency_ranks(tokens: DataFrame) -> np.ndarray:
 
     rows = tokens.where("counts IS NOT NULL").select("counts").mapInArrow(lean(count), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     order = sorted(rows, key=lambda r: (-r["n"], r["id"]))
-    ranks = np.full(max([0, *(r["id"] for r in rows)]) + 1, UNUSED)
+    ranks = np.full(max([0, *(r["id"] for r in rows)]) + 1, UNUSED, "<u4")
     for rank, row in enumerate(order):
         ranks[row["id"]] = rank
     return ranks
@@ -171,18 +179,18 @@ def write_token_files(docs: DataFrame, path: str, vocabulary_path: str, end_id:
     tokenised(docs, vocabulary_path, end_id, id_col, text_col).write.parquet(f"{path}/tokens")
     tokens = spark.read.schema(_TOKENS).parquet(f"{path}/tokens")
     ranks = frequency_ranks(tokens)
-    spark.createDataFrame([(ranks.astype("<u4").tobytes(),)], "ranks binary").coalesce(1).write.parquet(f"{path}/ranks")
+    spark.createDataFrame([(ranks.tobytes(),)], "ranks binary").coalesce(1).write.parquet(f"{path}/ranks")
     shared = spark.sparkContext.broadcast(ranks)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, block = TaskContext.get().partitionId(), 0
         ids: list[np.ndarray] = []
         keys: list[int | None] = []
-        held = 0
+        held = before = 0
 
         def flush() -> pa.RecordBatch:
             payload = pack(np.array([len(x) for x in ids]), shared.value[np.concatenate(ids)])
-            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([block], pa.int64()), pa.array([held], pa.int64()), pa.array([keys], pa.list_(pa.int64())), pa.array([payload], pa.binary())], ["shard", "block", "n", "doc_ids", "payload"])
+            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([block], pa.int64()), pa.array([before], pa.int64()), pa.array([held], pa.int64()), pa.array([keys], pa.list_(pa.int64())), pa.array([payload], pa.binary())], _BLOCK_NAMES)
 
         for batch in batches:
             for key, n, raw in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
@@ -191,14 +199,16 @@ def write_token_files(docs: DataFrame, path: str, vocabulary_path: str, end_id:
                 held += n
                 if held >= BLOCK_IDS:
                     yield flush()
-                    ids, keys, held, block = [], [], 0, block + 1
+                    ids, keys, held, before, block = [], [], 0, before + held, block + 1
         if keys:
             yield flush()
 
     tokens.where("counts IS NULL").select("doc_id", "n", "ids").repartitionByRange("doc_id").sortWithinPartitions(F.asc_nulls_first("doc_id"), "ids").mapInArrow(lean(blocks), _BLOCKS).write.parquet(f"{path}/blocks")
 
 
-_BLOCKS = "shard int, block long, n long, doc_ids array<long>, payload binary"
+#: ``start`` counts the ids of the shard's blocks before, so that a reader needs no more than the shards' totals.
+_BLOCKS = "shard int, block long, start long, n long, doc_ids array<long>, payload binary"
+_BLOCK_NAMES = [c.split()[0] for c in _BLOCKS.split(", ")]
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
@@ -212,8 +222,6 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     shared = spark.sparkContext.broadcast(back)
     shards = table.groupBy("shard").agg(F.sum("n").alias("total"))  # a row a shard
     before = shards.select("shard", (F.sum("total").over(Window.orderBy("shard")) - F.col("total")).alias("base"))
-    inside = table.select("shard", "block", "n").withColumn("start", F.sum("n").over(Window.partitionBy("shard").orderBy("block")) - F.col("n"))
-    starts = inside.join(before, "shard").select("shard", "block", (F.col("base") + F.col("start")).alias("start"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -221,10 +229,12 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                 lengths, ranks = unpack(payload)
                 ids = shared.value[ranks].astype("<u4")
                 ends = np.cumsum(lengths, dtype=np.int64)
-                raw = [ids[e - k : e].tobytes() for e, k in zip(ends.tolist(), lengths.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(start + ends - lengths), pa.array(lengths.astype(np.int64)), pa.array(raw, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
+                at = pa.array(np.append(0, ends) * ids.itemsize, pa.int32())
+                raw = pa.Array.from_buffers(pa.binary(), len(lengths), [None, at.buffers()[1], pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(start + ends - lengths), pa.array(lengths.astype(np.int64)), raw], ["doc_id", "start", "n_tokens", "ids"])
 
-    return table.join(starts, ["shard", "block"]).select("doc_ids", "payload", "start").mapInArrow(lean(run), "doc_id long, start long, n_tokens long, ids binary")
+    # Blocks are large: they stay where they are read, the shards' few rows come to them.
+    return table.join(F.broadcast(before), "shard").select("doc_ids", "payload", (F.col("base") + F.col("start")).alias("start")).mapInArrow(lean(run), "doc_id long, start long, n_tokens long, ids binary")
 
 
 def token_file_digest(docs: DataFrame, vocabulary_path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

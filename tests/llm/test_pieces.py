@@ -71,3 +71,53 @@ def test_new_pieces_are_not_cut_again(monkeypatch):
         assert [ids[a:b].tolist() for a, b in zip([0, *ends], ends, strict=False)] == want
     finally:
         token_files._WORKER.clear()
+
+
+def test_how_many_pieces_are_remembered_is_the_encoders_choice():
+    asked = []
+    pieces = bpe.Pieces(lambda x: (asked.extend(x), _made(x))[1], 2)
+    for wanted in ({"a", "b"}, {"c", "d"}, {"e"}, {"a"}):  # the third lets go of a and b
+        pieces.learn(wanted)
+    assert sorted(asked) == ["a", "a", "b", "c", "d", "e"]
+    assert token_files._encoder(bpe.read_vocabulary(vocabulary())).pieces.most == token_files.PIECES > bpe.PIECES
+
+
+def test_only_the_encoder_that_needs_them_makes_the_tables_of_ranks():
+    token_files._WORKER.clear()
+    codes = token_files._encoder(bpe.read_vocabulary(vocabulary())).codes
+    assert not {"real", "longest", "shorter"} & set(vars(codes))
+    want = Tokenizer.from_file(vocabulary()).encode(" thattionble", add_special_tokens=False).ids
+    assert [codes.id[t] for t in codes.ranks(b" thattionble")] == want
+
+
+def test_packing_costs_a_few_passes_over_the_ids():
+    r = np.random.default_rng(5)
+    ranks = np.where(r.random(1 << 18) < 0.15, r.integers(256, 50_000, 1 << 18), r.integers(0, 256, 1 << 18)).astype("<u4")
+
+    def seconds(run):
+        best = 9.0
+        for _ in range(7):
+            began = time.process_time()
+            run()
+            best = min(best, time.process_time() - began)
+        return best
+
+    # A mask over the bytes of all ids, a part of what was done before, costs three to four times as much.
+    mask = seconds(lambda: ranks.view(np.uint8).reshape(-1, 4)[:, :2][np.arange(2) <= (ranks > 255)[:, None]])
+    assert seconds(lambda: token_files.pack(np.array([len(ranks)]), ranks)) < mask
+
+
+def test_blocks_are_read_without_being_moved(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_files, "BLOCK_IDS", 3)
+    texts = ["one two two", None, "", "zwei über zwei", "two <|endoftext|> two", "two \n \x1c two", "five six seven eight"]
+    docs = spark.createDataFrame([(-i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    token_files.write_token_files(docs, f"{tmp_path}/files", vocabulary())
+    rows = token_files.read_token_files(spark, f"{tmp_path}/files")
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan
+    library, start, want = Tokenizer.from_file(vocabulary()), 0, []
+    for i in range(len(texts) - 1, -1, -1):
+        ids = [*library.encode(texts[i] or "", add_special_tokens=False).ids, 0]
+        want.append((-i, start, len(ids), np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+    assert sorted((r["doc_id"], r["start"], r["n_tokens"], bytes(r["ids"])) for r in rows.collect()) == want
