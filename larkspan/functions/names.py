@@ -124,11 +124,19 @@ def is_bare_fragment(name: Column) -> Column:
     return n.rlike(r"(?iu)^то\s+же") | (F.length(n) <= 12) | ((F.length(n) <= 28) & short)
 
 
-def name_similarity(a: Column, b: Column) -> Column:
-    """Similarity of two names already brought to one form: 1 equal, 0.9 one inside the other, else the Dice of their bigrams, spaces included."""
-    gram = lambda t: F.transform(F.sequence(F.lit(1), F.length(t) - 1), lambda i: F.substring(t, i, F.lit(2)))
+def spaced_grams(text: Column) -> Column:
+    """The bigrams of a text, spaces included, repeats numbered, so that shared ones are a set's intersection; none of a text of one character."""
+    gram = lambda t: F.when(F.length(t) > 1, F.transform(F.sequence(F.lit(1), F.length(t) - 1), lambda i: F.substring(t, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
     numbered = lambda g: F.transform(g, lambda x, i: F.concat(x, F.size(F.filter(F.slice(g, F.lit(1), i + 1), lambda h: h == x)).cast("string")))
-    sets = F.struct(let(gram(a), numbered).alias("x"), let(gram(b), numbered).alias("y"))
+    return let(gram(text), numbered)
+
+
+def name_similarity(a: Column, b: Column, x: Column | None = None, y: Column | None = None) -> Column:
+    """Similarity of two names already brought to one form: 1 equal, 0.9 one inside the other, else the Dice of their bigrams, spaces included.
+
+    ``x`` and ``y``: their ``spaced_grams``, where these are at hand.
+    """
+    sets = F.struct((spaced_grams(a) if x is None else x).alias("x"), (spaced_grams(b) if y is None else y).alias("y"))
     dice = F.when((F.length(a) < 2) | (F.length(b) < 2), 0.0).otherwise(let(sets, lambda s: 2.0 * F.size(F.array_intersect(s["x"], s["y"])) / (F.size(s["x"]) + F.size(s["y"]))))
     empty = (F.coalesce(a, F.lit("")) == "") | (F.coalesce(b, F.lit("")) == "")
     return F.when(empty, 0.0).when(a == b, 1.0).when((F.length(a) >= 4) & (F.contains(b, a) | F.contains(a, b)), 0.9).otherwise(dice)

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspan.functions.names import name_similarity, split_products
+from larkspan.functions.names import name_similarity, spaced_grams, split_products
 from larkspan.functions.text import let
 from larkspan.operators.hierarchy import CODED, DESIGNATED, SAME
 from larkspan.sources.shared import discard, written
@@ -89,37 +89,60 @@ def _placed(items: DataFrame) -> DataFrame:
     return t.withColumn("position", F.when((F.col("role") == "child") & ~nopos, F.lit(None)).otherwise(F.col("position_number")))
 
 
-def nearest_parent(items: DataFrame) -> DataFrame:
+def _named(asked: DataFrame, entries: DataFrame) -> DataFrame:
+    """(document, target, form, score) of the names of a document that are like one that its rows ask for: every two distinct texts are compared once."""
+    sides = [t.distinct().withColumn(g, spaced_grams(F.col(c))) for t, c, g in ((asked.select("document", "target"), "target", "x"), (entries.select("document", "form"), "form", "y"))]
+    inside = F.contains("form", "target") | F.contains("target", "form")
+    sized = (F.size("x") <= 3 * F.size("y")) & (F.size("y") <= 3 * F.size("x"))  # else the Dice is below a half
+    score = name_similarity(F.col("target"), F.col("form"), F.col("x"), F.col("y"))
+    return sides[0].join(sides[1], "document").where(inside | sized).select("document", "target", "form", score.alias("score")).where(F.col("score") >= LIKE)
+
+
+def nearest_parent(items: DataFrame, look_back: int | None = None) -> DataFrame:
     """(document, ordinal, parent) of every row that says which its parent is: the nearest row above with the position that it names, else the row above whose name is most like the one that it names, the nearest of several.
 
     Items: document, ordinal, name, position, parent_position,
     parent_name_hint, role ("group" and "single" can be found by name;
-    "continued" adds to the name of its group), group.  Positions meet in one
-    window over (document, position), so that no pairs are made; names are
-    compared with the at most ``LOOK_BACK`` rows above.  Null where neither is
-    found.
+    "continued" adds to the name of its group), group, above (the group that is
+    open at a row, whose name may still go on; null for none).  ``look_back``:
+    how many rows above count, all by default; names of such items do not go on.
+    Null where neither is found.
+
+    Positions meet in one window over (document, position).  A name is compared
+    with the distinct names of its document, and the rows of those that are like
+    it meet it in one window over (document, name asked for), so that no row's
+    neighbours are gathered.  A name that goes on is found there by its whole
+    form from its last row on; until then it is compared as far as it goes.
     """
     asks = F.col("position_number").isNull() & (F.col("parent_position").isNotNull() | F.col("parent_name_hint").isNotNull())
     t = items.withColumn("asks", asks)
+    start = Window.unboundedPreceding if look_back is None else -look_back
     held = t.where("position IS NOT NULL").select("document", F.trim("position").alias("key"), "ordinal", F.col("ordinal").alias("found"))
     asked = t.where(F.col("asks") & F.col("parent_position").isNotNull()).select("document", F.col("parent_position").alias("key"), "ordinal", F.lit(None).cast("long").alias("found"))
     latest = F.last("found", ignorenulls=True).over(Window.partitionBy("document", "key").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1))
-    by_position = held.unionByName(asked).withColumn("latest", latest).where(F.col("found").isNull() & (F.col("ordinal") - F.col("latest") <= LOOK_BACK)).select("document", "ordinal", "latest")
-
-    entry = F.when(F.col("role").isin("group", "single", "continued"), F.struct("ordinal", "group", "name", "role"))
-    near = F.collect_list(entry).over(Window.partitionBy("document").orderBy("ordinal").rowsBetween(-LOOK_BACK, -1))
-    hinted = t.withColumn("near", near).where(F.col("asks")).join(by_position, ["document", "ordinal"], "left")
-
-    def whole(e: Column, all_: Column) -> Column:
-        more = F.filter(all_, lambda c: (c["role"] == "continued") & (c["group"] == e["ordinal"]))
-        return name_form(F.concat_ws(" ", F.array(e["name"]), F.transform(more, lambda c: c["name"])))
-
-    def best(target: Column) -> Column:
-        scored = F.transform(F.filter("near", lambda e: e["role"] != "continued"), lambda e: F.struct(name_similarity(target, whole(e, F.col("near"))).alias("score"), e["ordinal"].alias("ordinal")))
-        return let(F.array_max(scored), lambda b: F.when(b["score"] >= LIKE, b["ordinal"]))
-
-    by_name = F.when(F.col("parent_name_hint").isNotNull(), let(name_form(F.col("parent_name_hint")), best))
-    return hinted.select("document", "ordinal", F.when(F.col("latest").isNotNull(), F.col("latest")).otherwise(by_name).alias("parent"))
+    by_position = held.unionByName(asked).withColumn("latest", latest).where(F.col("found").isNull() & F.col("latest").isNotNull()).select("document", "ordinal", "latest")
+    if look_back is not None:
+        by_position = by_position.where(F.col("ordinal") - F.col("latest") <= look_back)
+
+    said = t.where(F.col("role").isin("group", "single", "continued")).select("document", F.coalesce("group", "ordinal").alias("entry"), "ordinal", "name")
+    joined = lambda parts: name_form(F.concat_ws(" ", F.transform(F.sort_array(F.collect_list(parts)), lambda p: p["name"])))
+    entries = said.groupBy("document", F.col("entry").alias("ordinal")).agg(F.max("ordinal").alias("at"), joined(F.struct("ordinal", "name")).alias("form"))
+    hinted = t.where(F.col("asks") & F.col("parent_name_hint").isNotNull()).select("document", "ordinal", "above", name_form(F.col("parent_name_hint")).alias("target")).where("target <> ''")
+
+    found = entries.join(_named(hinted, entries), ["document", "form"]).select("document", "target", "at", F.struct("score", "ordinal").alias("entry"), F.lit(None).cast("long").alias("asking"))
+    asking = hinted.select("document", "target", F.col("ordinal").alias("at"), F.lit(None).cast(found.schema["entry"].dataType).alias("entry"), F.col("ordinal").alias("asking"))
+    best = F.max("entry").over(Window.partitionBy("document", "target").orderBy("at").rangeBetween(start, -1))
+    closed = found.unionByName(asking).withColumn("best", best).where("asking IS NOT NULL").select("document", F.col("asking").alias("ordinal"), "best")
+
+    parts = said.withColumnsRenamed({"entry": "above", "ordinal": "part"}).join(entries.where("at > ordinal").select("document", F.col("ordinal").alias("above"), "at"), ["document", "above"])
+    sofar = hinted.join(parts, ["document", "above"]).where("part < ordinal AND ordinal <= at").groupBy("document", "ordinal", "above", "target").agg(joined(F.struct("part", "name")).alias("form"))
+    current = sofar.select("document", "ordinal", F.struct(name_similarity(F.col("target"), F.col("form")).alias("score"), F.col("above").alias("ordinal")).alias("current")).where(F.col("current.score") >= LIKE)
+
+    by_name = F.greatest("best", "current")["ordinal"]
+    out = t.where("asks").select("document", "ordinal")
+    for more in (by_position, closed, current):
+        out = out.join(more, ["document", "ordinal"], "left")
+    return out.select("document", "ordinal", F.coalesce("latest", by_name).alias("parent"))
 
 
 def linked_pages(items: DataFrame) -> DataFrame:

@@ -66,5 +66,5 @@ _TOP = "position_number IS NULL AND (parent_position IS NOT NULL OR parent_name_
  SELECT p.document, p.ordinal, coalesce(b.by_position, CASE WHEN p.parent_name_hint IS NOT NULL AND b.x.s >= 0.5 THEN b.x.o END) AS parent FROM page p LEFT JOIN best b ON b.document = p.document AND b.ordinal = p.ordinal WHERE {_TOP}""")
 def nearest_parent(spark: SparkSession, d: str) -> DataFrame:
     """For every row that says what it belongs to, the nearest row above that it means; numbered rows are those that can be named."""
-    rows = page_rows(spark, d).withColumns({"position": F.col("position_number"), "role": F.when(F.col("position_number").isNotNull(), "group").otherwise("child"), "group": F.col("ordinal")})
-    return P.nearest_parent(rows)
+    rows = page_rows(spark, d).withColumns({"position": F.col("position_number"), "role": F.when(F.col("position_number").isNotNull(), "group").otherwise("child"), "group": F.col("ordinal"), "above": F.lit(None).cast("long")})
+    return P.nearest_parent(rows, P.LOOK_BACK)

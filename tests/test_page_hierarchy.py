@@ -166,3 +166,11 @@ def similar(a, b):
 def test_sections(spark, name, section):
     got = spark.createDataFrame([(name, None, None)], "n string, q double, u string").select(P.is_section(F.col("n"), F.col("q"), F.col("u"))).first()[0]
     assert got is section
+
+
+def test_a_parent_may_be_named_far_above(spark):
+    """Over more than 600 rows: by position, by name, and by a name that went on."""
+    far = [(f"Изделие {i}", str(1000 + i), 1.0, "шт") for i in range(700)]
+    rows = (("Клапан обратный", "1", 1.0, "шт"), ("муфтовый латунный",), *far, ("исполнение А", None, 1.0, "шт", None, "1"), ("исполнение Б", None, 1.0, "шт", None, None, "клапан обратный муфтовый латунный"))
+    got = {n: (f, p) for n, f, p in links(spark, *rows)}
+    assert got["исполнение А"] == ("Клапан обратный муфтовый латунный исполнение А", 0) and got["исполнение Б"] == ("Клапан обратный муфтовый латунный исполнение Б", 0)
