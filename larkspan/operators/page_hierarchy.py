@@ -163,14 +163,14 @@ def linked_pages(items: DataFrame) -> DataFrame:
     asks = F.col("position_number").isNull() & (F.col("parent_position").isNotNull() | F.col("parent_name_hint").isNotNull())
     rows = written(items.withColumn("resolved", asks), "page-rows")
     while True:
-        placed = _placed(rows)
+        placed = written(_placed(rows), "page-placed")
         hints = written(nearest_parent(placed).where("parent IS NOT NULL"), "page-hints")
         again = placed.select(*rows.columns).join(hints.select("document", "ordinal", F.lit(True).alias("leads")), ["document", "ordinal"], "left")
         moved = again.withColumn("now", F.coalesce("leads", F.lit(False)))
         if moved.where(F.col("now") != F.col("resolved")).isEmpty():
             break
         old, rows = rows, written(moved.drop("resolved", "leads").withColumnRenamed("now", "resolved").select(*rows.columns), "page-rows")
-        discard(old, hints)
+        discard(old, hints, placed)
 
     group = Window.partitionBy("document", "group").orderBy("ordinal")
     continued, whole = F.when(F.col("role") == "continued", F.trim("name")), group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
