@@ -174,3 +174,14 @@ def test_a_parent_may_be_named_far_above(spark):
     rows = (("Клапан обратный", "1", 1.0, "шт"), ("муфтовый латунный",), *far, ("исполнение А", None, 1.0, "шт", None, "1"), ("исполнение Б", None, 1.0, "шт", None, None, "клапан обратный муфтовый латунный"))
     got = {n: (f, p) for n, f, p in links(spark, *rows)}
     assert got["исполнение А"] == ("Клапан обратный муфтовый латунный исполнение А", 0) and got["исполнение Б"] == ("Клапан обратный муфтовый латунный исполнение Б", 0)
+
+
+def test_no_row_gathers_the_names_above_it(spark):
+    """Neither with a bound nor without one; the bound itself holds by position and by name."""
+    rows = items(spark, ("Клапан", "1"), *[("Труба", str(10 + i)) for i in range(3)], ("а", None, None, None, None, "1"), ("б", None, None, None, None, None, "клапан"))
+    t = rows.withColumns({"position": F.col("position_number"), "role": F.when(F.col("position_number").isNotNull(), "group").otherwise("child"), "group": F.col("ordinal"), "above": F.lit(None).cast("long")})
+    for bound, want in ((None, [0, 0]), (5, [0, 0]), (4, [0, None]), (3, [None, None])):
+        found = P.nearest_parent(t, bound)
+        assert [r["parent"] for r in found.orderBy("ordinal").collect()] == want
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert not [line for line in plan.splitlines() if "Window [" in line and "collect_list" in line]
