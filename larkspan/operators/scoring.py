@@ -7,9 +7,14 @@ document (a document is bounded); everything else is joins and windows.
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
+from itertools import islice
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -26,32 +31,77 @@ def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, (x or "").lower().strip(), (y or "").lower().strip()).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+def _unknown(x: float | None) -> bool:
+    return x is None or x != x
+
+
 def _price_ok(expected: float | None, actual: float | None) -> bool:
-    if pd.isna(expected) or pd.isna(actual):
+    if _unknown(expected) or _unknown(actual):
         return False
     return actual == 0 if expected == 0 else abs(expected - actual) / abs(expected) <= 0.05
 
 
-def _greedy(ref: pd.DataFrame, result: pd.DataFrame) -> pd.DataFrame:
-    ref, result = ref.sort_values("idx"), result.sort_values("idx")
-    keys, used, out = [(i, (n or "").lower().strip(), p) for i, n, p in zip(result["idx"], result["name"], result["price"], strict=True)], set(), []
-    for doc, idx, name, price in zip(ref["doc"], ref["idx"], ref["name"], ref["price"], strict=True):
-        best, at = -1.0, None
-        for k, (_, other, _) in enumerate(keys):
-            if k not in used and (sim := SequenceMatcher(None, (name or "").lower().strip(), other).ratio()) > best:
-                best, at = sim, k
+def _lists(column: pa.ListArray) -> list[list[tuple]]:
+    """Lists of structs as lists of tuples; null as an empty one."""
+    rows = zip(*[f.to_pylist() for f in column.flatten().flatten()], strict=True)
+    return [list(islice(rows, n or 0)) for n in pc.list_value_length(column).to_pylist()]
+
+
+_DDL = {pa.int64(): "long", pa.float64(): "double", pa.bool_(): "boolean"}
+
+
+def _by_document(left: DataFrame, right: DataFrame, decide: Callable[[int, list, list], Iterator[tuple]], schema: pa.Schema) -> DataFrame:
+    """The rows that ``decide`` makes of each document of ``left`` from the rows of both sides, sorted by their first columns.
+
+    A document travels as one row with two lists, so that very many small
+    documents come to Python a batch at a time.
+    """
+    ship(left.sparkSession)
+    listed = lambda t, name: t.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct(*[c for c in t.columns if c != "doc"]))).alias(name))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [row for doc, a, b in zip(batch.column(0).to_pylist(), _lists(batch.column(1)), _lists(batch.column(2)), strict=True) for row in decide(doc, a, b)]
+            yield pa.RecordBatch.from_arrays([pa.array([row[i] for row in out], t) for i, t in enumerate(schema.types)], schema=schema)
+
+    both = listed(left, "a").alias("l").join(listed(right, "b").alias("r"), F.col("l.doc").eqNullSafe(F.col("r.doc")), "left").select("l.doc", "a", "b")
+    return both.mapInArrow(run, ", ".join(f"{n} {_DDL[t]}" for n, t in zip(schema.names, schema.types, strict=True)))
+
+
+def _most_alike(name: str, matchers: list[SequenceMatcher], used: set[int]) -> tuple[float, int | None]:
+    """The similarity and place of the first of the most similar texts that are left.
+
+    A text is compared only where its length and letters leave room for more
+    than the best so far.
+    """
+    free = [k for k in range(len(matchers)) if k not in used]
+    if len(name) < 200:  # in longer texts frequent letters do not count, so that equal ones may have less
+        for k in free:
+            if matchers[k].b == name:
+                return 1.0, k
+    best, at = -1.0, None
+    for k in free:
+        m = matchers[k]
+        m.set_seq1(name)
+        if m.real_quick_ratio() > best and m.quick_ratio() > best and (sim := m.ratio()) > best:
+            best, at = sim, k
+    return best, at
+
+
+def _greedy(doc: int, ref: list, result: list) -> Iterator[tuple]:
+    matchers, used = [SequenceMatcher(None, "", (n or "").lower().strip()) for _, n, _ in result], set()
+    for idx, name, price in ref:
+        best, at = _most_alike((name or "").lower().strip(), matchers, used)
         hit = at is not None and best >= 0.75
         if hit:
             used.add(at)
-        out.append((doc, idx, keys[at][0] if hit else None, round(max(best, 0.0), 3), hit and _price_ok(price, keys[at][2])))
-    return pd.DataFrame(out, columns=["doc", "idx", "result_idx", "similarity", "price_ok"]).astype({"result_idx": "Int64"})
+        yield doc, idx, result[at][0] if hit else None, round(max(best, 0.0), 3), hit and _price_ok(price, result[at][2])
 
 
 def greedy_assignment(ref: DataFrame, result: DataFrame) -> DataFrame:
     """(doc, idx, result_idx, similarity, price_ok): each reference row takes the most similar result row that is left, from 0.75, in order."""
-    ship(ref.sparkSession)
     columns = ("doc", "idx", "name", "price")
-    return ref.select(*columns).groupBy("doc").cogroup(result.select(*columns).groupBy("doc")).applyInPandas(_greedy, "doc long, idx long, result_idx long, similarity double, price_ok boolean")
+    return _by_document(ref.select(*columns), result.select(*columns), _greedy, pa.schema({"doc": pa.int64(), "idx": pa.int64(), "result_idx": pa.int64(), "similarity": pa.float64(), "price_ok": pa.bool_()}))
 
 
 def document_scores(assigned: DataFrame, result: DataFrame) -> DataFrame:

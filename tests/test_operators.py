@@ -104,6 +104,18 @@ def test_greedy_assignment_and_partners(spark):
     assert len({(p["doc"], p["other_idx"]) for p in partners}) == len(partners)
 
 
+def test_assignment_takes_documents_a_batch_at_a_time(spark):
+    """No call of Python a document; names of 200 letters and more, nulls, a document without results, the first of equal names."""
+    schema = "doc long, idx long, name string, price double"
+    ref = [(1, 0, "Valve", 1.0), (1, 1, None, None), (1, 2, "ab" * 150, 2.0), (2, 0, "pump", 0.0), (None, 0, "pipe", 3.0)]
+    res = [(1, 2, "valve ", 1.04), (1, 1, "valve", 1.0), (1, 0, "ab" * 150, 2.0), (3, 0, "pump", 0.0), (None, 5, "pipe", 9.0)]
+    got = C.greedy_assignment(spark.createDataFrame(ref, schema), spark.createDataFrame(res, schema))
+    long_ = SequenceMatcher(None, "ab" * 150, "ab" * 150).ratio()
+    want = {(1, 0): (1, 1.0, True), (1, 1): (None, 0.0, False), (1, 2): (0 if long_ >= 0.75 else None, round(long_, 3), long_ >= 0.75), (2, 0): (None, 0.0, False), (None, 0): (5, 1.0, False)}
+    assert {(r["doc"], r["idx"]): (r["result_idx"], r["similarity"], r["price_ok"]) for r in got.collect()} == want
+    assert "CoGroup" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_vat_duplicates_by_name(spark):
     goods = [(1, i, f"Труба стальная {i}", f"A{i}" if i < 3 else None, 100.0 + 100 * i, 10.0) for i in range(5)]
     again = [(1, 10 + i, n.lower(), a, p * 1.2, 12.0) for _, i, n, a, p, _ in goods]
