@@ -161,22 +161,23 @@ def without_vat_duplicates(items: DataFrame) -> DataFrame:
     return items.join(again, ["doc", "idx"], "left_anti").join(net, ["doc", "idx"], "left").select(*[taxed(c) if c in ("price", "amount") else c for c in items.columns])
 
 
-def _merge(base: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
-    base, other = base.sort_values("idx"), other.sort_values("idx")
-    candidates, used, out = list(other.itertuples(index=False)), set(), []
-    conflict = lambda a, b: not (pd.isna(a) or pd.isna(b)) and abs(a - b) > max(0.001, abs(a) * 0.001)
-    agree = lambda a, b: not (pd.isna(a) or pd.isna(b)) and not conflict(a, b)
-    for row in base.itertuples(index=False):
-        free = [k for k in range(len(candidates)) if k not in used]
-        same = [k for k in free if row.article_key and candidates[k].article_key == row.article_key] or [k for k in free if row.name_key and candidates[k].name_key == row.name_key]
-        fits = [k for k in same if not conflict(row.quantity, candidates[k].quantity) and not (row.unit_key and candidates[k].unit_key and row.unit_key != candidates[k].unit_key)]
-        score = {k: 2 * agree(row.quantity, candidates[k].quantity) + bool(row.unit_key and row.unit_key == candidates[k].unit_key) for k in fits}
-        best = [k for k in fits if score[k] == max(score.values())]
+def _merge(doc: int, base: list, other: list) -> Iterator[tuple]:
+    by_article, by_name, used = defaultdict(list), defaultdict(list), set()
+    for k, (_, _, article, name, _) in enumerate(other):
+        by_article[article].append(k)
+        by_name[name].append(k)
+    conflict = lambda a, b: not (_unknown(a) or _unknown(b)) and abs(a - b) > max(0.001, abs(a) * 0.001)
+    agree = lambda a, b: not (_unknown(a) or _unknown(b)) and not conflict(a, b)
+    for idx, quantity, article, name, unit in base:
+        free = lambda places, key: [k for k in places.get(key, ()) if k not in used] if key else []
+        same = free(by_article, article) or free(by_name, name)
+        fits = [k for k in same if not conflict(quantity, other[k][1]) and not (unit and other[k][4] and unit != other[k][4])]
+        score = {k: 2 * agree(quantity, other[k][1]) + bool(unit and unit == other[k][4]) for k in fits}
+        best = [k for k in fits if score[k] == max(score.values())] if len(fits) > 1 else fits
         taken = fits[0] if len(fits) == 1 else best[0] if len(best) == 1 and score[best[0]] > 0 else None
         if taken is not None:
             used.add(taken)
-        out.append((row.doc, row.idx, None if taken is None else candidates[taken].idx))
-    return pd.DataFrame(out, columns=["doc", "idx", "other_idx"]).astype({"other_idx": "Int64"})
+        yield doc, idx, None if taken is None else other[taken][0]
 
 
 def confident_partners(base: DataFrame, other: DataFrame) -> DataFrame:
@@ -188,8 +189,7 @@ def confident_partners(base: DataFrame, other: DataFrame) -> DataFrame:
     def keyed(t: DataFrame) -> DataFrame:
         return t.select("doc", "idx", "quantity", N.article_key(F.col("article")).alias("article_key"), N.name_key(F.col("name")).alias("name_key"), N.unit_key(F.col("unit")).alias("unit_key"))
 
-    ship(base.sparkSession)
-    return keyed(base).groupBy("doc").cogroup(keyed(other).groupBy("doc")).applyInPandas(_merge, "doc long, idx long, other_idx long")
+    return _by_document(keyed(base), keyed(other), _merge, pa.schema({"doc": pa.int64(), "idx": pa.int64(), "other_idx": pa.int64()}))
 
 
 def field_status(has_ref: Column, has_result: Column, equal: Column) -> Column:

@@ -116,6 +116,16 @@ def test_assignment_takes_documents_a_batch_at_a_time(spark):
     assert "CoGroup" not in got._jdf.queryExecution().executedPlan().toString()
 
 
+def test_partners_take_documents_a_batch_at_a_time(spark):
+    """No call of Python a document; by article, else by name, the only one with the best agreement, each once."""
+    schema = "doc long, idx long, name string, article string, price double, quantity double, unit string"
+    base = [(1, 0, "pipe", "A", 0.0, 2.0, "m"), (1, 1, "pipe", "A", 0.0, 2.0, "m"), (1, 2, "valve", None, 0.0, None, None), (1, 3, "pump", "B", 0.0, 1.0, "m"), (2, 0, "pipe", "A", 0.0, 1.0, "m")]
+    other = [(1, 0, "x", "A", 0.0, 2.0, "m"), (1, 1, "y", "A", 0.0, None, None), (1, 2, "valve", "C", 0.0, 5.0, "kg"), (1, 3, "pump", "B", 0.0, 3.0, "m"), (3, 0, "pipe", "A", 0.0, 1.0, "m")]
+    got = C.confident_partners(spark.createDataFrame(base, schema), spark.createDataFrame(other, schema))
+    assert {(r["doc"], r["idx"]): r["other_idx"] for r in got.collect()} == {(1, 0): 0, (1, 1): 1, (1, 2): 2, (1, 3): None, (2, 0): None}
+    assert "CoGroup" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_vat_duplicates_by_name(spark):
     goods = [(1, i, f"Труба стальная {i}", f"A{i}" if i < 3 else None, 100.0 + 100 * i, 10.0) for i in range(5)]
     again = [(1, 10 + i, n.lower(), a, p * 1.2, 12.0) for _, i, n, a, p, _ in goods]
