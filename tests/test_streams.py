@@ -53,6 +53,36 @@ def test_entries_expire_unless_renewed(source, tmp_path):
     assert sorted((r["user_id"], r["event_id"], (r["expired_ms"] - zero) // hour) for r in got) == [(1, 3, 44), (2, 2, 27)]
 
 
+def test_entries_of_a_key_expire_by_one_timer(source, tmp_path):
+    """Repeats, late renewals and ties over several batches, and a restart; a batch's entries cost one write of the state and one timer."""
+    home = str(tmp_path / "out")
+    rows = lambda: sorted((r["user_id"], r["event_id"]) for r in T.drained(T.expired_entries(source.stream(), days=1), home).collect())
+    source((1, 0, 1, 0.0), (2, 0, 1, 0.0), (3, 30, 1, 0.0), (4, 0, 2, 0.0), (5, 25, 2, 0.0), (5, 25, 2, 0.0), (6, 49, 3, 0.0))
+    assert rows() == [(1, 2), (2, 4)]
+    source((7, 54, 1, 0.0), (8, 50, 2, 0.0))  # the first one a day after entry 3, so that it renews it
+    assert rows() == [(1, 2), (2, 4)]
+    source((9, 200, 4, 0.0))
+    assert rows() == [(1, 2), (1, 7), (2, 4), (2, 5), (2, 8), (3, 6)]
+
+
+def test_a_batch_of_a_key_is_one_value_and_one_timer():
+    calls = []
+
+    class Handle:
+        def getValueState(self, *_):
+            return self
+
+        getMapState = getValueState
+        exists = lambda self: False
+        update = updateValue = lambda self, *a: calls.append("state")
+        registerTimer = lambda self, end: calls.append(end)
+
+    p = T.Expiring(10)
+    p.init(Handle())
+    list(p.handleInputRows((1,), iter([T.pd.DataFrame({"ms": range(100, 200), "event_id": range(100)})]), None))
+    assert calls == ["state", 110]
+
+
 def test_windows_in_append_mode_wait_for_late_events(spark, source, tmp_path):
     home = str(tmp_path / "out")
     source((1, 1, 1, 1.0), (2, 30, 1, 1.0))
