@@ -273,3 +273,12 @@ def test_dice_join_on_random_names(spark, threshold):
 
     want = {(i, j): dice(x, y) for i, x in enumerate(left) for j, y in enumerate(right) if dice(x, y) >= threshold}
     assert {(x["a"], x["b"]): x["dice"] for x in dice_join(frame(left), frame(right), threshold).collect()} == pytest.approx(want)
+
+
+def test_nearest_names_meet_once(spark):
+    """Repeated names on both sides: the smallest id stands for all, ties go to the smaller one, what is too far off is left out."""
+    known = [(i, n) for i, n in enumerate(["steel works no 7", "steel works no 8", "pump house"] * 40)]
+    asked = [(1000 + i, n) for i, n in enumerate(["Steel works no 7", "steel works no 9", "nothing alike"] * 40)]
+    got = X.nearest_names(spark.createDataFrame(asked, "id long, name string").select("id", F.lower("name").alias("name")), spark.createDataFrame(known, "id long, name string"), 0.75).collect()
+    assert {(r["id"], r["found"]) for r in got} == {(1000 + i, 0) for i in range(120) if i % 3 < 2} and len(got) == 80
+    assert {round(r["dice"], 6) for r in got if r["id"] % 3 == 1} == {1.0}
