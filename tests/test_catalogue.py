@@ -92,3 +92,15 @@ def test_dice_join_equals_brute_force(spark):
 def test_tax_number_checksum(spark):
     t = spark.createDataFrame([("7707083893",), ("7707083894",), ("500100732259",), ("x",), (None,)], "t string")
     assert [r[0] for r in t.select(T.tax_id_valid(F.col("t"))).collect()] == [True, False, True, False, False]
+
+
+def test_patterns_of_a_text_are_tried_once(spark):
+    """The written month is read by one search and its three parts, not once for every month; texts without what a pattern needs give nothing."""
+    from larkspan.functions import documents as D
+
+    texts = ["Счёт № A-1 от 5 Марта 2024, ООО «Вектор» итого 1 234,50", "123 мая 20245", "invoice #7 date: 1.2.2023 продавец: банк", "ИП Иванов, скидка 5,5 %", "пусто", "", None]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", D.metadata(F.col("t")).alias("m"))
+    rows = [tuple(r["m"]) for r in got.orderBy("i").collect()]
+    assert rows[0] == ("A-1", "05.03.2024", "ООО Вектор", 1234.5, None) and rows[1][1] == "23.05.2024" and rows[2][:3] == ("7", "1.2.2023", "банк") and rows[3][4] == 5.5
+    assert rows[4] == rows[5] == rows[6] == (None,) * 5
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("января|февраля") <= 4
